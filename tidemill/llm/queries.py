@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, media, mixing, packing, sharding, token_files
+from . import fingerprints, media, mixing, near_dedup, packing, sharding, token_files
 from .common import documents
 
 
@@ -10,6 +10,7 @@ def queries():
     return {
         "op2_media_columns": lambda spark, d: media.columns(documents(spark, d)),
         "op3_mixing": lambda spark, d: mixing.taken(documents(spark, d)),
+        "op4_near_dedup": lambda spark, d: near_dedup.near_duplicates(documents(spark, d)),
         "op5_best_fit_packing": lambda spark, d: packing.packed(documents(spark, d)),
         "op8_jump_hash": lambda spark, d: sharding.assign(documents(spark, d)),
         "op9_token_files": lambda spark, d: token_files.round_trip(documents(spark, d)),
