@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, media, mixing, near_dedup, packing, sharding, token_files, toxicity
+from . import fingerprints, lm_score, media, mixing, near_dedup, packing, sharding, token_files, toxicity
 from .common import documents
 
 
@@ -12,6 +12,7 @@ def queries():
         "op3_mixing": lambda spark, d: mixing.taken(documents(spark, d)),
         "op4_near_dedup": lambda spark, d: near_dedup.near_duplicates(documents(spark, d)),
         "op5_best_fit_packing": lambda spark, d: packing.packed(documents(spark, d)),
+        "op6_maxent_lm": lambda spark, d: lm_score.scored(documents(spark, d)),
         "op7_toxicity": lambda spark, d: toxicity.scored(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op8_jump_hash": lambda spark, d: sharding.assign(documents(spark, d)),
         "op9_token_files": lambda spark, d: token_files.round_trip(documents(spark, d)),
