@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, lm_score, media, mixing, near_dedup, packing, sharding, token_files, toxicity
+from . import fingerprints, lm_score, media, mixing, near_dedup, packing, sharding, suffix_dedup, token_files, toxicity
 from .common import documents
 
 
 def queries():
     return {
+        "op1_suffix_dedup": lambda spark, d: suffix_dedup.removed(documents(spark, d)),
         "op2_media_columns": lambda spark, d: media.columns(documents(spark, d)),
         "op3_mixing": lambda spark, d: mixing.taken(documents(spark, d)),
         "op4_near_dedup": lambda spark, d: near_dedup.near_duplicates(documents(spark, d)),
