@@ -26,14 +26,14 @@ class Encoder:
     as one text and cut again at the tokens that begin with a space.
     """
 
-    def __init__(self, path: str, limit: int = 800_000, longest: int = 40) -> None:
+    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 40) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         space = self.lib.encode(" a", add_special_tokens=False).tokens[0][0]
         self.opens = np.array([(self.lib.id_to_token(i) or "").startswith(space) for i in range(self.lib.get_vocab_size())])
-        self.limit, self.longest, self.warm, self.known, self.hot = limit, longest, 32_768, {}, {}
+        self.limit, self.longest, self.known, self.old = limit, longest, {}, {}
         self.ends = {x: self.whole(x) for x in ".,"}
 
     def whole(self, text: str) -> bytes:
@@ -57,37 +57,43 @@ class Encoder:
             got[p] = (got.get(x) or self.known[x]) + self.ends[p[-1]]
         return got
 
+    def look(self, pieces: list[str]) -> list[bytes]:
+        """Ids of a space and each piece; the table's older half goes when the younger one is full."""
+        if len(self.known) > self.limit // 2:
+            self.known, self.old = {}, self.known
+        known, old, out, new = self.known, self.old, [], []
+        for p in pieces:
+            if (x := known.get(p)) is None and (x := old.get(p)) is not None:
+                known[p] = x
+            out.append(x)
+        new = [p for p, x in zip(pieces, out) if x is None]
+        odd = {p: self.whole(" " + p) for p in new if len(p) > self.longest or " " in p}
+        plain = [p for p in new if p not in odd]
+        got = odd
+        for i in range(0, len(plain), 20_000):
+            learnt = self.learn(plain[i : i + 20_000])
+            known.update(learnt)
+            got |= learnt
+        return [got[p] if x is None else x for p, x in zip(pieces, out)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        hot, known, cut, new = self.hot, self.known, [], set()
-        for text in texts:
+        """Ids of each text. Texts are cut and their distinct pieces found by Arrow; each distinct piece is looked up once."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not texts:
+            return []
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at, coded = cut.offsets.to_pylist(), cut.values.dictionary_encode()
+        ids = self.look(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        place, out = coded.indices.to_numpy().tolist(), []
+        for text, i, j in zip(texts, at, at[1:]):
             if UNEVEN.search(text):
                 head, *rest = BEFORE_WORD.split(text)
-                rest = [x[1:] for x in rest]
+                out.append(self.whole(head) + b"".join(self.look([x[1:] for x in rest])))
             else:
-                head, *rest = text.split(" ")
-            ids, late = list(map(hot.get, rest)), []
-            if None in ids:
-                for i, x in enumerate(ids):
-                    if x is None:
-                        if (x := known.get(p := rest[i])) is None:
-                            late.append((i, p))
-                            new.add(p)
-                        else:
-                            ids[i] = x
-                            if len(hot) < self.warm:
-                                hot[p] = x
-            cut.append((head, ids, late))
-        odd = {p: self.whole(" " + p) for p in new if len(p) > self.longest or " " in p}
-        plain = list(new.difference(odd)) if odd else list(new)
-        for i in range(0, len(plain), 20_000):
-            known.update(self.learn(plain[i : i + 20_000]))
-        out = []
-        for head, ids, late in cut:
-            for i, p in late:
-                ids[i] = odd[p] if p in odd else known[p]
-            out.append((self.whole(head) if head else b"") + b"".join(ids))
+                head = text[: text.find(" ")] if j - i > 1 else text
+                out.append(self.whole(head) + b"".join([ids[k] for k in place[i + 1 : j]]))
         return out
 
 
@@ -101,7 +107,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def chunks(batch, rows: int = 256):
-    """Parts of an Arrow batch that are small enough to encode together."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def chunks(batch, column: int = 1, size: int = 12 << 20):
+    """Parts of an Arrow batch with about `size` bytes in a column, small enough to encode together."""
+    import pyarrow.compute as pc
+
+    group = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for i, j in zip(edges, edges[1:]):
+        if j > i:
+            yield batch.slice(i, j - i)
