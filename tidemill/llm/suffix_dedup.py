@@ -34,11 +34,11 @@ from .common import attempt, filesystem, partitions, scratch, scratch_path, text
 from .shingles import STEPS, TABLE, mix
 
 MARK = 26
-PIECE = 1 << 22  # longer documents are read in pieces that overlap
+PIECE = 1 << 18  # longer documents are read in pieces that overlap
 LAST = (1 << 63) - 1
 
 
-def squeeze(raw: bytes, level: int = 3) -> bytes:
+def squeeze(raw, level: int = 3) -> bytes:
     import zstandard
 
     return zstandard.ZstdCompressor(level=level).compress(raw)
@@ -57,7 +57,7 @@ def put(folder: str, name: str, arrays: list[np.ndarray], level: int = 3) -> Non
     part = f"{root}/.{attempt()[1]}-{name}"
     with fs.open_output_stream(part) as out:
         for a in arrays:
-            raw = squeeze(a.tobytes(), level)
+            raw = squeeze(memoryview(np.ascontiguousarray(a)).cast("B") if len(a) else b"", level)
             out.write(struct.pack("<q4s", len(raw), a.dtype.str.encode()) + raw)
     fs.move(part, f"{root}/{name}")
 
@@ -83,12 +83,12 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def anchors(x: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Of texts one after the other (each ends at ends): anchor places, first and last window start, hash of the anchor,
-    hash of all that the anchor's windows cover."""
-    none = np.zeros(0, np.int64)
+    """Of texts one after the other (each ends at ends): anchor places, how far before them the last and the first of
+    their windows start, hash of the anchor, hash of all that its windows cover."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.uint8, np.uint8, np.uint64, np.uint64))
     n = len(x)
     if n < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none
     up, down = STEPS.get(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(TABLE[x] * up[:n], out=total[1:])
@@ -105,12 +105,12 @@ def anchors(x: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, .
     fits = room > 0
     idx = np.repeat(starts[fits] - np.concatenate([[0], np.cumsum(room[fits])[:-1]]), room[fits]) + np.arange(room[fits].sum())
     if not len(idx):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none
     at = (low[idx] & np.uint64((1 << 24) - 1)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (idx[1:] != idx[:-1] + 1)]))
     a, lo, hi = at[first], idx[first], idx[np.append(first[1:], len(idx)) - 1]
     whole = mix((total[hi + length] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64))
-    return a, lo, hi, h[a], whole
+    return a, (a - hi).astype(np.uint8), (a - lo).astype(np.uint8), h[a], whole
 
 
 def parts(sizes: np.ndarray, length: int, limit: int = PIECE):
@@ -140,11 +140,13 @@ def found(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray,
         doc, begin, end = (np.array(v, np.int64) for v in zip(*run))
         piece = np.concatenate([text[b:e] for b, e in zip(begin, end)])
         ends = np.cumsum(end - begin)
-        a, lo, hi, h, whole = anchors(piece, ends, length)
+        a, low, high, h, whole = anchors(piece, ends, length)
         k = np.searchsorted(ends, a, side="right")
         move = (begin - (ends - (end - begin)))[k]
-        out.append((a + move, lo + move, hi + move, h, whole, doc[k]))
-    return tuple(np.concatenate(v) for v in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(6))
+        out.append((a + move, low, high, h, whole, doc[k].astype(np.int32)))
+    if not out:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint8, np.uint8, np.uint64, np.uint64, np.int32))
+    return tuple(np.concatenate(v) for v in zip(*out))
 
 
 def short(h: np.ndarray) -> np.ndarray:
@@ -184,9 +186,19 @@ def build(columns: np.ndarray, keys: np.ndarray, first: np.ndarray, last: np.nda
 BLOB = "task int, bucket int, raw binary"
 
 
-def table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    t, b, r = zip(*rows) if rows else ((), (), ())
-    return pa.table({"task": pa.array(t, pa.int32()), "bucket": pa.array(b, pa.int32()), "raw": pa.array(r, pa.binary())})
+def together(df: DataFrame, column: str, n: int, step, schema: str) -> DataFrame:
+    """Runs step over all rows of each number in a column (0 to n - 1): one partition for each, however small it is."""
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from step(pa.Table.from_batches(held))
+
+    return df.repartitionById(n, F.col(column)).mapInArrow(run, schema)
+
+
+def blob(task: int, bucket: int, raw: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([bucket], pa.int32()), pa.array([raw], pa.binary())], ["task", "bucket", "raw"])
 
 
 def repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, row: str | None = None) -> DataFrame:
@@ -212,6 +224,7 @@ def repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, row: str
         if not raws:
             return
         text, sizes = np.frombuffer(b"".join(raws), np.uint8), np.array([len(r) for r in raws], np.int64)
+        del raws
         sink = io.BytesIO()
         with pa.ipc.new_stream(sink, meta[0].schema) as out:
             for m in meta:
@@ -226,75 +239,75 @@ def repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, row: str
         several = (np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)) if len(h) else np.zeros(0, bool)
         h = h[first] | several.astype(np.uint64)
         where = (h >> np.uint64(1)) % np.uint64(buckets)
-        out = [(task, b, pack(h[where == b])) for b in range(buckets) if (where == b).any()] or [(task, task % buckets, pack(h))]
-        yield from table(out).to_batches()
+        for b in np.unique(where).tolist() or [task % buckets]:  # a task without anchors is known to one bucket
+            yield blob(task, int(b), pack(h[where == b]))
 
-    def shared(group: pa.Table) -> pa.Table:
+    def shared(group: pa.Table):
         names, sets = group.column("task").to_pylist(), [unpack(r) for r in group.column("raw").to_pylist()]
         h = np.concatenate(sets)
         u, inverse, n = np.unique(h >> np.uint64(1), return_inverse=True, return_counts=True)
         many = n > 1
         many[inverse[(h & np.uint64(1)) == 1]] = True
-        flags, at, out = many[inverse], 0, []
+        flags, at = many[inverse], 0
         for task, s in zip(names, sets):
-            out.append((task, int(group.column("bucket")[0].as_py()), pack((s >> np.uint64(1))[flags[at : at + len(s)]])))
+            yield blob(task, group.column("bucket")[0].as_py(), pack((s >> np.uint64(1))[flags[at : at + len(s)]]))
             at += len(s)
-        return table(out)
 
-    def records(group: pa.Table) -> pa.Table:
+    def records(group: pa.Table):
         task = int(group.column("task")[0].as_py())
         wanted = np.sort(np.concatenate([unpack(r) for r in group.column("raw").to_pylist()]))
         meta, sizes, text = get(folder, f"collection-{task}")
         keys = pa.ipc.open_stream(meta.tobytes()).read_all().column("doc_id").combine_chunks().fill_null(LAST).to_numpy()
-        a, lo, hi, h, whole, doc = found(text, sizes, length)
+        a, low, high, h, whole, doc = found(text, sizes, length)
         value = short(h) >> np.uint64(1)
         hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value) if len(wanted) and len(value) else np.zeros(0, np.int64)
-        a, lo, hi, whole, doc, value = a[hit], lo[hit], hi[hit], whole[hit], doc[hit], value[hit]
+        a, low, high, whole, doc, value = (v[hit] for v in (a, low, high, whole, doc, value))
         key, where = keys[doc], (value % np.uint64(buckets)).astype(np.int32)
         order = np.lexsort((key, whole, where))  # equal pieces together, the least doc_id first
-        a, lo, hi, whole, key, where = a[order], lo[order], hi[order], whole[order], key[order], where[order]
+        a, low, high, whole, key, where = (v[order] for v in (a, low, high, whole, key, where))
         new = np.concatenate([[True], whole[1:] != whole[:-1]]) if len(a) else np.zeros(0, bool)
         slot, lead = np.cumsum(new) - 1, np.flatnonzero(new)
-        put(folder, f"places-{task}", [a, (a - hi).astype(np.uint8), (a - lo).astype(np.uint8), slot.astype(np.int32), (key == key[lead][slot]) if len(a) else new], 1)
+        put(folder, f"places-{task}", [a, low, high, slot.astype(np.int32), (key == key[lead][slot]) if len(a) else new], 1)
         padded = np.concatenate([np.zeros(pad, np.uint8), text, np.zeros(pad, np.uint8)])
-        out, at = [], where[lead]
+        at = where[lead]
         for b in np.unique(at).tolist():
             k = lead[at == b]
-            strings = padded[(a[k])[:, None] + np.arange(2 * length - MARK)]
-            place = np.arange(2 * length - MARK)[None, :] + (a[k] - pad)[:, None]
-            strings[(place < lo[k][:, None]) | (place >= (hi[k] + length)[:, None])] = 0
-            out.append((task, b, struct.pack("<q", len(k)) + squeeze(key[k].tobytes() + (a - hi)[k].astype(np.uint8).tobytes() + (a - lo)[k].astype(np.uint8).tobytes() + strings.tobytes(), 3)))
-        return table(out)
-
-    def construct(group: pa.Table) -> pa.Table:
-        names, sizes, ks, fs, ls, xs = group.column("task").to_pylist(), [], [], [], [], []
-        wide = 2 * length - MARK
-        for raw in group.column("raw").to_pylist():
-            n = struct.unpack_from("<q", raw)[0]
-            flat = np.frombuffer(expand(raw[8:]), np.uint8)
-            sizes.append(n)
-            ks.append(flat[: 8 * n].view(np.int64))
-            fs.append(flat[8 * n : 9 * n])
-            ls.append(flat[9 * n : 10 * n])
-            xs.append(flat[10 * n :].reshape(n, wide).T)
-        mask = build(np.ascontiguousarray(np.concatenate(xs, axis=1)), np.concatenate(ks), np.concatenate(fs), np.concatenate(ls), length)
+            place = np.arange(2 * length - MARK)
+            strings = padded[a[k][:, None] + place]
+            strings[(place < pad - high[k].astype(int)[:, None]) | (place >= pad + length - low[k].astype(int)[:, None])] = 0
+            yield blob(task, b, struct.pack("<q", len(k)) + squeeze(b"".join([key[k].tobytes(), low[k].tobytes(), high[k].tobytes(), strings.tobytes()])))
+
+    def construct(group: pa.Table):
+        names, raws, wide = group.column("task").to_pylist(), group.column("raw").to_pylist(), 2 * length - MARK
+        sizes = [struct.unpack_from("<q", r)[0] for r in raws]
+        at, total = np.concatenate([[0], np.cumsum(sizes)]), sum(sizes)
+        columns, keys = np.empty((wide, total), np.uint8), np.empty(total, np.int64)
+        low, high = np.empty(total, np.uint8), np.empty(total, np.uint8)
+        for i, (raw, n) in enumerate(zip(raws, sizes)):
+            flat, to = np.frombuffer(expand(raw[8:]), np.uint8), slice(at[i], at[i + 1])
+            keys[to], low[to], high[to] = flat[: 8 * n].view(np.int64), flat[8 * n : 9 * n], flat[9 * n : 10 * n]
+            columns[:, to] = flat[10 * n :].reshape(n, wide).T
+        mask = build(columns, keys, low, high, length)
         cut = np.split(mask, np.cumsum(sizes)[:-1])
-        return table([(t, int(group.column("bucket")[0].as_py()), squeeze(m.tobytes(), 1)) for t, m in zip(names, cut)])
+        for t, m in zip(names, cut):
+            yield blob(t, group.column("bucket")[0].as_py(), squeeze(m.tobytes(), 1))
 
-    def remove(group: pa.Table) -> pa.Table:
+    def remove(group: pa.Table):
         task = int(group.column("task")[0].as_py())
         got = sorted((b, r) for b, r in zip(group.column("bucket").to_pylist(), group.column("raw").to_pylist()) if b >= 0)
         mask = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(expand(r), np.uint32) for _, r in got)])
         head, sizes, text = get(folder, f"collection-{task}")
         a, low, high, slot, same = get(folder, f"places-{task}")
-        cover = np.zeros(len(text) + 1, np.int32)
+        gone = np.zeros(len(text), bool)  # first the starts of repeated windows, then all that they cover
         if len(a):
             bits = np.where(same, mask[slot], np.uint32(0xFFFFFFFF))
             for o in range(pad + 1):
-                s = a[(bits >> np.uint32(o) & np.uint32(1) == 1) & (low <= o) & (o <= high)] - o
-                np.add.at(cover, s, 1)
-                np.add.at(cover, s + length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+                gone[a[(bits >> np.uint32(o) & np.uint32(1) == 1) & (low <= o) & (o <= high)] - o] = True
+        reach = 1
+        while reach < length:
+            step = min(reach, length - reach)
+            gone[step:] |= gone[:-step].copy()
+            reach += step
         meta = pa.ipc.open_stream(head.tobytes()).read_all()
         at, out = 0, {c: [] for c in ("n_removed", "n_spans", "kept_sha256", "kept", "span_starts", "span_ends")}
         for n in sizes.tolist():
@@ -306,13 +319,15 @@ def repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, row: str
             at += n
         longs = pa.list_(pa.int64())
         types = {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "span_starts": longs, "span_ends": longs}
-        return pa.table({"row": meta.column("row"), "doc_id": meta.column("doc_id"), "n_bytes": pa.array(sizes), **{c: pa.array(v, types[c]) for c, v in out.items()}})
+        done = pa.table({"row": meta.column("row"), "doc_id": meta.column("doc_id"), "n_bytes": pa.array(sizes), **{c: pa.array(v, types[c]) for c, v in out.items()}})
+        yield from done.to_batches(max_chunksize=4096)
 
-    flags = scratch(rows.mapInArrow(collect, BLOB).groupBy("bucket").applyInArrow(shared, BLOB), "shared-anchors")
-    masks = scratch(flags.groupBy("task").applyInArrow(records, BLOB).groupBy("bucket").applyInArrow(construct, BLOB), "masks")
+    flags = scratch(together(rows.mapInArrow(collect, BLOB), "bucket", buckets, shared, BLOB), "shared-anchors")
+    tasks = 1 + (flags.agg(F.max("task")).first()[0] or 0)
+    masks = scratch(together(together(flags, "task", tasks, records, BLOB), "bucket", buckets, construct, BLOB), "masks")
     each = flags.select("task").distinct().select("task", F.lit(-1).alias("bucket"), F.lit(b"").alias("raw"))
     schema = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, span_starts array<long>, span_ends array<long>"
-    return each.unionByName(masks).groupBy("task").applyInArrow(remove, schema)
+    return together(each.unionByName(masks), "task", tasks, remove, schema)
 
 
 def removed(docs: DataFrame, **options) -> DataFrame:
