@@ -89,6 +89,8 @@ def match(df: DataFrame, pattern: Pattern, key: str, ts: str, ident: str) -> Dat
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["_us", ident], ignore_index=True)
         found = advance((rows["_us"] / 1e6).tolist(), [rows[f"_f{k}"].tolist() for k in range(len(negated))], negated, seconds, strict)
-        return pd.DataFrame({key: [rows[key].iloc[0]] * len(found), "match_start": [rows[ts][m[0]] for m in found], "match_end": [rows[ts][m[-1]] for m in found], "ids": [rows[ident].to_numpy()[m].tolist() for m in found]})
+        start, end = (rows.iloc[[m[k] for m in found]].reset_index(drop=True) for k in (0, -1))
+        ids = pd.Series([rows[ident].to_numpy()[m].tolist() for m in found], dtype=object)
+        return pd.DataFrame({key: start[key], "match_start": start[ts], "match_end": end[ts], "ids": ids})
 
     return slim.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, match_start {kinds[ts]}, match_end {kinds[ts]}, ids array<{kinds[ident]}>")
