@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import partitions, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,7 +30,7 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
     return found.select("src", "source_size", F.least(F.col("most"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def copies(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix", block: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
+def copies(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix", block: int = 4_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, copies and the columns in keep, a row for each document.
 
     Documents of a source all expect target / source_size copies, so the prefix sum after the k-th of them is k times
@@ -54,6 +54,7 @@ def copies(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix",
     goal = targets(classes.groupBy("src").agg(F.sum("words").alias("source_size")), weights, cap)
     thin = thin.join(classes.select("src", "class", (1 + F.floor(F.col("rows") / block)).cast("long").alias("blocks")), ["src", "class"])
     thin = thin.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    thin = thin.repartition(partitions(docs.sparkSession), "src", "class", "block")  # else a join's exchange by class stands for it
     before = Window.partitionBy("src").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)
     first = thin.groupBy("src", "class", "block").agg(F.count("*").alias("rows")).select("src", "class", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
     placed = thin.withColumn("n", F.row_number().over(Window.partitionBy("src", "class", "block").orderBy("size", "id"))).join(first, ["src", "class", "block"]).join(goal, "src")
