@@ -20,11 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more.
 
-    Rows with a null doc_id stay. Of rows that repeat a doc_id one stays, the first by text.
+    Rows with a null doc_id stay; rows that repeat a doc_id stay or go together.
     """
     gone = near_dedup.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
