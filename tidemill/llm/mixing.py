@@ -30,8 +30,8 @@ def targets(sizes: DataFrame, weights=(5, 2, 1), cap: int = 3) -> DataFrame:
     return found.select("src", "source_size", F.least(F.col("most"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def copies(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix", block: int = 4_000, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, copies and the columns in keep, a row for each document.
+def copies(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix", block: int = 4_000) -> DataFrame:
+    """doc_id, size, source_size, target, copies: a row for each document.
 
     Documents of a source all expect target / source_size copies, so the prefix sum after the k-th of them is k times
     that, exactly. They stand in the order of size (then doc_id), which holds the words taken near the target. A hashed
@@ -42,13 +42,12 @@ def copies(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix",
 
     Null or blank text: size 0. Null source: a source of its own, last. Repeated rows: a place each. No rows: no rows.
     """
-    base = docs.select(
-        *keep,
-        F.col("doc_id").alias("_id"),
-        F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name")).alias("_src"),
-        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("_size"),
+    thin = docs.select(
+        F.col("doc_id").alias("id"),
+        F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name")).alias("src"),
+        F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
-    thin = base.withColumnsRenamed({"_src": "src", "_size": "size", "_id": "id"}) if keep else scratch(base.withColumnsRenamed({"_src": "src", "_size": "size", "_id": "id"}), "mix")
+    thin = scratch(thin, "mix")
     thin = thin.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4).cast("int") + 1).otherwise(0))
     classes = thin.groupBy("src", "class").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
     goal = targets(classes.groupBy("src").agg(F.sum("words").alias("source_size")), weights, cap)
@@ -63,19 +62,15 @@ def copies(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix",
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     place = (F.col("first") + F.col("n")).cast("double")
     crossed = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
-    return placed.select(*keep, F.col("id").alias("_doc_id"), "size", "source_size", "target", crossed.cast("long").alias("copies")).withColumnRenamed("_doc_id", "doc_id" if "doc_id" not in keep else "_doc_id")
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as `copies` says, with its columns."""
-    cols = docs.columns
-    held = scratch(docs.select(*cols, F.monotonically_increasing_id().alias("_row")), "mix-docs")
-    taken = copies(held.withColumn("doc_id", F.struct("doc_id", "_row")), **options).where("copies > 0")
-    return (
-        held.join(taken.select(F.col("doc_id._row").alias("_row"), F.col("copies").cast("int").alias("_copies")), "_row")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*cols)
-    )
+    held = scratch(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_row")), "mix-docs")
+    rows = held.select(F.struct("doc.doc_id", "_row").alias("doc_id"), "doc.source", "doc.text")
+    times = copies(rows, **options).where("copies > 0").select(F.col("doc_id._row").alias("_row"), F.col("copies").cast("int").alias("_copies"))
+    return held.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc.*")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:

@@ -219,7 +219,7 @@ def repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, row: str
         task, _ = attempt()
         raws, meta = [], []
         for batch in batches:
-            meta.append(batch.select(["row", "doc_id"]))
+            meta.append(pa.RecordBatch.from_arrays([pa.array(batch.column(i).to_pylist(), pa.int64()) for i in (0, 1)], ["row", "doc_id"]))  # a view would hold the texts
             raws += batch.column(2).to_pylist()
         if not raws:
             return
@@ -357,7 +357,8 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
     def left(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([rest(*x) for x in zip(text, starts, ends)], dtype=object)
 
-    held = scratch(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup-docs")
-    cut = repeats(held, row="_row", **options).where("n_spans > 0").select(F.col("row").alias("_row"), "span_starts", "span_ends")
-    both = held.join(cut, "_row", "left").withColumn("text", left("text", "span_starts", "span_ends"))
-    return (both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else both).select(*docs.columns)
+    held = scratch(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_row")), "dedup-docs")
+    cut = repeats(held.select("doc.doc_id", "doc.text", "_row"), row="_row", **options).where("n_spans > 0").select(F.col("row").alias("_row"), "span_starts", "span_ends")
+    both = held.join(cut, "_row", "left").withColumn("_text", left("doc.text", "span_starts", "span_ends"))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    return both.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col(f"doc.`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ class Encoder:
     as one text and cut again at the tokens that begin with a space.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000, longest: int = 40) -> None:
+    def __init__(self, path: str, limit: int = 600_000, longest: int = 40) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -107,7 +107,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def chunks(batch, column: int = 1, size: int = 12 << 20):
+def chunks(batch, column: int = 1, size: int = 6 << 20):
     """Parts of an Arrow batch with about `size` bytes in a column, small enough to encode together."""
     import pyarrow.compute as pc
 
