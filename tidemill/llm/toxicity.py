@@ -34,6 +34,8 @@ TERM = re.compile(r"(?<!\w)(?:" + "|".join(sorted(SWAPS, key=lambda x: (-len(x),
 LETTER = np.zeros(256, bool)
 LETTER[[*range(97, 123), *range(128, 256)]] = True
 BITS = 20
+#: Word starts that are features, in bytes.
+STARTS = (4, 5, 6, 7, 8)
 
 
 def swapped(text: str, turn: int) -> str | None:
@@ -43,7 +45,7 @@ def swapped(text: str, turn: int) -> str | None:
 
 
 def features(raw: bytes) -> np.ndarray:
-    """Distinct hashed features of a text: its words (runs of letters), their starts of 4 to 6 bytes, and word pairs."""
+    """Distinct hashed features of a text: its words (runs of letters), their starts, and word pairs."""
     x = np.frombuffer(raw.lower(), np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], LETTER[x], [False]])))
     start, end = edge[::2], edge[1::2]
@@ -54,7 +56,7 @@ def features(raw: bytes) -> np.ndarray:
     np.cumsum(TABLE[x] * up[: len(x)], out=total[1:])
     word = mix((total[end] - total[start]) * down[start])
     found = [word, mix(word[:-1] * ODD[3] + word[1:] * ODD[4])]
-    for n in (4, 5, 6):
+    for n in STARTS:
         s = start[end - start > n]
         found.append(mix((total[s + n] - total[s]) * down[s] + np.uint64(n)))
     return np.unique((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32))
@@ -104,7 +106,7 @@ def descend(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, pair
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 6_000, most_features: int = 4_096, least_gain: float = 24.0, decay: float = 2e-4, fair: float = 1.0, swaps: int = 2, steps: int = 300, folds: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, each: int = 6_000, most_features: int = 4_096, least_gain: float = 16.0, decay: float = 3e-5, fair: float = 1.0, swaps: int = 2, steps: int = 500, folds: int = 5) -> Model:
     """Learns from labelled rows outside the held-out fold: at most `each` of either label, those first by a hash of
     doc_id (a documented bound on a sample; every text of it is whole). Features are chosen by their log-likelihood
     gain over the sample, so texts reach the driver as a few feature numbers. The bias is set back to the labels' rates.
