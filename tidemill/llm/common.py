@@ -61,3 +61,16 @@ def attempt() -> tuple[int, str]:
 
     t = TaskContext.get()
     return t.partitionId(), f"{t.partitionId():06d}-{t.taskAttemptId()}"
+
+
+def trim() -> None:
+    """Gives freed memory of a Python worker back, so that workers that wait between tasks hold little."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attempt, filesystem, partitions, scratch, scratch_path, text_bytes
+from .common import attempt, filesystem, partitions, scratch, scratch_path, text_bytes, trim
 from .shingles import STEPS, TABLE, mix
 
 MARK = 26
@@ -193,6 +193,8 @@ def together(df: DataFrame, column: str, n: int, step, schema: str) -> DataFrame
         held = [b for b in batches if b.num_rows]
         if held:
             yield from step(pa.Table.from_batches(held))
+            del held
+            trim()
 
     return df.repartitionById(n, F.col(column)).mapInArrow(run, schema)
 
@@ -241,6 +243,8 @@ def repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, row: str
         where = (h >> np.uint64(1)) % np.uint64(buckets)
         for b in np.unique(where).tolist() or [task % buckets]:  # a task without anchors is known to one bucket
             yield blob(task, int(b), pack(h[where == b]))
+        del text, sizes, h, key, where
+        trim()
 
     def shared(group: pa.Table):
         names, sets = group.column("task").to_pylist(), [unpack(r) for r in group.column("raw").to_pylist()]
