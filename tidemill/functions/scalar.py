@@ -105,6 +105,22 @@ def mask_partial(s: Column) -> Column:
     return F.when(s.contains("@"), mail).otherwise(tail)
 
 
+def folded(s: Column) -> Column:
+    """masked_ and 16 hex digits: the UTF-8 bytes folded by times 31 plus byte, modulo 2^64 (in two halves, as whole
+    numbers here may not overflow)."""
+    digits, n = F.hex(F.encode(s, "utf-8")), F.octet_length(s)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n == 0, F.array().cast("array<int>"))
+    half = F.lit(0xFFFFFFFF)
+
+    def step(h: Column, i: Column) -> Column:
+        low = h["low"] * 31 + F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+        return F.struct((h["high"] * 31 + F.shiftright(low, 32)).bitwiseAND(half).alias("high"), low.bitwiseAND(half).alias("low"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("low"))
+    text = lambda c: F.lower(F.lpad(F.hex(c), 8, "0"))
+    return F.aggregate(places, zero, step, lambda h: F.concat(F.lit("masked_"), text(h["high"]), text(h["low"])))
+
+
 REGISTER = {
     "byte_length": "octet_length(s)",
     "mask_all": "CASE WHEN s IS NULL THEN NULL ELSE '****' END",

@@ -53,6 +53,22 @@ def ema(df: DataFrame, key: str, order: list[str], value: str, window: int = 20,
     return _by_key(df, key, order, value, "ema double, is_anomaly boolean", step)
 
 
+def ewma(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.3, sensitivity: float = 3.0, least: int = 10) -> DataFrame:
+    """Adds deviation (from the weighted mean before the row, in deviations; null before `least` rows or without any) and
+    is_anomaly; recursive, so each key is read in order."""
+
+    def step(x):
+        mean, var, out = 0.0, 0.0, []
+        for i, v in enumerate(x):
+            out.append(abs(v - mean) / var**0.5 if i >= least and var > 0 else None)
+            d = v - mean if i else 0.0
+            mean = mean + alpha * d if i else v
+            var = (1 - alpha) * (var + alpha * d * d)
+        return {"deviation": pd.Series(out, dtype=float), "is_anomaly": [o is not None and o > sensitivity for o in out]}
+
+    return _by_key(df, key, order, value, "deviation double, is_anomaly boolean", step)
+
+
 def local_outliers(df: DataFrame, key: str, order: list[str], value: str, window: int = 50, k: int = 5, ratio: float = 2.0) -> DataFrame:
     """Mean distance to the k nearest of the window before, over that of these neighbours."""
 

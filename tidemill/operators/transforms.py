@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import mask_partial
+from ..functions.scalar import folded, mask_partial
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -28,10 +31,13 @@ def replace_field(include: list[str] | None = None, exclude: list[str] = (), ren
 
 
 def mask(*names: str, how: str = "redact") -> Step:
+    """redact, partial, hash (the same 64-bit tag for equal values; not cryptographic), or sha256."""
+
     def one(c: Column) -> Column:
         if how == "redact":
             return F.when(c.isNotNull(), F.lit("****"))
-        return mask_partial(c.cast("string")) if how == "partial" else F.sha2(c.cast("string"), 256)
+        c = c.cast("string")
+        return {"partial": mask_partial, "hash": folded, "sha256": lambda x: F.sha2(x, 256)}[how](c)
 
     return lambda df: df.withColumns({n: one(F.col(n)) for n in names})
 
@@ -88,3 +94,86 @@ def apply_changes(changes: DataFrame, keys: list[str], op: str, order: str) -> D
 def debezium(df: DataFrame, value: str, row: str) -> DataFrame:
     """before, after, op and ts_ms of a change envelope in JSON; row: the images' fields as DDL."""
     return df.withColumn("_e", F.from_json(value, f"before struct<{row}>, after struct<{row}>, op string, ts_ms long")).select(*[c for c in df.columns if c != value], "_e.*")
+
+
+def _json(value: str, one: Callable[[dict], dict]) -> Step:
+    """Edits JSON objects; text that is no object becomes null, for dead_letters() to find."""
+
+    def edit(text: str) -> str | None:
+        try:
+            held = json.loads(text)
+        except ValueError:
+            return None
+        return json.dumps(one(held), ensure_ascii=False, separators=(",", ":")) if isinstance(held, dict) else None
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(edit, na_action="ignore")
+
+    return lambda df: df.withColumn(value, of(F.col(value)))
+
+
+def json_edit(value: str, remove: tuple[str, ...] = (), rename: dict[str, str] | None = None, add: dict[str, str] | None = None) -> Step:
+    """Removes fields, then renames, then adds."""
+
+    def one(held: dict) -> dict:
+        held = {k: v for k, v in held.items() if k not in remove}
+        for old, new in (rename or {}).items():
+            if old in held:
+                held[new] = held.pop(old)
+        return held | (add or {})
+
+    return _json(value, one)
+
+
+def json_flatten(value: str, delimiter: str = ".") -> Step:
+    """Nested objects and arrays become fields of the outermost, named by their path."""
+
+    def walk(at: str, v, out: dict) -> dict:
+        inner = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else None
+        if inner is None or not v:
+            out[at] = v
+        else:
+            for k, x in inner:
+                walk(f"{at}{delimiter}{k}" if at else str(k), x, out)
+        return out
+
+    return _json(value, lambda held: walk("", held, {}) if held else held)
+
+
+def with_header(name: str, content: Column, headers: str = "headers") -> Step:
+    """Sets a header of map<string, string>; null maps count as empty."""
+    return lambda df: df.withColumn(headers, F.map_concat(_without(name, headers), F.create_map(F.lit(name), content.cast("string"))))
+
+
+def without_header(name: str, headers: str = "headers") -> Step:
+    return lambda df: df.withColumn(headers, _without(name, headers))
+
+
+def _without(name: str, headers: str) -> Column:
+    none = F.create_map().cast("map<string,string>")
+    return F.map_filter(F.coalesce(F.col(headers), none), lambda k, v: k != name)
+
+
+#: Forms of a time in a field and what turns them into milliseconds.
+TIMES = {
+    "epoch_ms": lambda c: c.try_cast("long"),
+    "epoch_s": lambda c: c.try_cast("long") * 1000,
+    "iso8601": lambda c: F.unix_millis(c.try_cast("timestamp")),
+}
+
+
+def timestamp_header(value: str, path: str, form: str = "epoch_ms", headers: str = "headers") -> Step:
+    """The time in a JSON field as header x-extracted-timestamp, in milliseconds; null where there is none."""
+    return with_header("x-extracted-timestamp", TIMES[form](F.get_json_object(value, f"$.{path}")), headers)
+
+
+def table_glob(pattern: str, *parts: str) -> Column:
+    """Whether the columns joined by dots match a glob (* any text, ? a character)."""
+    form = "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern)
+    return F.concat_ws(".", *parts).rlike(f"^{form}$")
+
+
+def route_changes(rules: list[tuple[str, Column]], default: str | None = None, column: str = "topic") -> Step:
+    """Adds the topic of the first rule whose condition holds."""
+    return lambda df: df.withColumn(column, F.coalesce(*[F.when(c, F.lit(t)) for t, c in rules], F.lit(default)))

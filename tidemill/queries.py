@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from .functions import aggregates as agg
 from .functions import scalar
-from .operators import anomaly, cep, joins, logs, timeseries, transforms, vector, windows
+from .functions.registry import Functions
+from .operators import anomaly, cells, cep, embedding, joins, logs, observe, schemas, timeseries, transforms, vector, windows
+from .plans import questions
 from .plans.builder import Pipeline, flow
 from .plans.catalog import Catalog
+from .plans.views import View, Views, apply_deltas, counted
 from .sources import sinks, topics
 from .streaming import runs
 
@@ -646,6 +649,162 @@ def _(spark, d):
     return flow(nodes, [("c", "f"), ("f", "j"), ("n", "j"), ("j", "a")], "a")
 
 
+# --- cells, embeddings, standing queries
+KNN = f"SELECT query_id, id, round(s, 6) AS similarity, CAST(r AS INTEGER) AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS id, {COS} AS s, row_number() OVER (PARTITION BY b.vec_id ORDER BY {COS} DESC, a.vec_id) AS r FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0) WHERE r <= 5"
+CELLS, PROBES = 16, 12  # these vectors lie nearly at random, so that many cells are probed for a recall over 0.9
+
+
+def knn_in_cells(spark, d, probes):
+    v = table(spark, d, "embeddings")
+    c = cells.centres(cells.sample(v, "vec_id", "embedding"), CELLS)
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the stated query set
+    return cells.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 5, c, probes).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("knn_cells")
+def _(spark, d):
+    return knn_in_cells(spark, d, PROBES)
+
+
+@query("knn_all_cells", KNN)
+def _(spark, d):
+    return knn_in_cells(spark, d, CELLS)
+
+
+@query("semantic_partitions")
+def _(spark, d):
+    v = table(spark, d, "embeddings")
+    return cells.partition(v, "embedding", cells.centres(cells.sample(v, "vec_id", "embedding"), CELLS)).select("vec_id", "cell")
+
+
+@query("hash_embedding", "SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(lower(text), '[\\pL\\pN]+'), lambda w: 1 + 0.5 * greatest(strlen(w) - 2, 0))), 0)::DOUBLE AS total FROM documents")
+def _(spark, d):
+    e = table(spark, d, "documents").select("doc_id", embedding.embed(F.col("text")).alias("e"))
+    return e.select("doc_id", F.aggregate("e", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double")).alias("total"))
+
+
+@query("similarity_subscription", f"SELECT a.vec_id AS id, b.vec_id AS subscription, round({COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id < 5 AND {COS} >= 0.3")
+def _(spark, d):
+    v = table(spark, d, "embeddings")
+    standing = v.where("vec_id < 5").select(F.col("vec_id").alias("subscription"), F.col("embedding").alias("query"))  # the stated query set
+    return embedding.subscribe(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), standing, 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("chunk_recursive")
+def _(spark, d):
+    return embedding.chunk(table(spark, d, "documents"), "doc_id", "text", 500)
+
+
+@query("chunk_semantic")
+def _(spark, d):
+    return embedding.chunk(table(spark, d, "documents"), "doc_id", "text", 500, how="semantic")
+
+
+# --- schemas, functions, questions
+@query("schema_summary", "SELECT k AS field, 'number' AS type, count(*) AS occurrences, 100.0 * count(*) / (SELECT count(*) FROM events) AS share FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1")
+def _(spark, d):
+    return schemas.summary(events(spark, d), "props")
+
+
+@query("user_functions", "SELECT event_type, round(max(value * 2) - min(value * 2), 6) AS width FROM events GROUP BY 1")
+def _(spark, d):
+    held = Functions(spark)
+    held.scalar("tidemill_twice", lambda x: None if x is None else x * 2, ["double"], "double", "twice a value")
+    held.aggregate("tidemill_width", lambda: (None, None), lambda s, x: s if x is None else (x if s[0] is None else min(s[0], x), x if s[1] is None else max(s[1], x)), lambda s: None if s[0] is None else s[1] - s[0], ["double"], "double")
+    try:
+        return spark.sql("SELECT event_type, round(tidemill_width(tidemill_twice(value)), 6) AS width FROM {e} GROUP BY event_type", e=events(spark, d))
+    finally:
+        for f in held.list():
+            held.remove(f.name)
+
+
+@query("question_sql", "SELECT avg(value) AS average FROM events")
+def _(spark, d):
+    e = events(spark, d)
+    catalog = Catalog(spark, "ts")
+    catalog.topic("events", e)
+    return catalog.sql(questions.translate("What is the average value in events?", {"events": e.columns}, "ts").sql)
+
+
+# --- traces, logs, fits
+@query("trace_assembly", "SELECT user_id AS trace_id, count(*) AS spans, arg_min(event_id, ts) FILTER (event_id % 3 = 0) AS root_span, min(ts) AS started, max(ts + INTERVAL '90 seconds') AS ended, CASE WHEN bool_or(event_id % 3 = 0) THEN 90000 END AS duration_ms FROM events GROUP BY 1")
+def _(spark, d):
+    spans = events(spark, d).select("user_id", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_id") - 1).alias("parent"), "ts", (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("te"))
+    return observe.traces(spans, "user_id", "event_id", "parent", "ts", "te")
+
+
+@query("log_query", "SELECT event_id FROM events WHERE event_type IN ('error', 'view') AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' AND contains(props, '1') AND user_id = 7")
+def _(spark, d):
+    level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "warn").otherwise("debug")
+    e = events(spark, d).select("event_id", "ts", level.alias("level"), F.col("props").alias("body"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("attributes"), F.lit(None).cast("string").alias("trace_id"))
+    return observe.log_query(e, "WARN", dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 20), "1", {"user": "7"}).select("event_id")
+
+
+@query("moving_average", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS 4 PRECEDING), 6) AS average FROM events")
+def _(spark, d):
+    return observe.moving_average(events(spark, d), "user_id", ["ts"], "value", 5).select("event_id", F.round("average", 6).alias("average"))
+
+
+@query("linear_fit", "SELECT 0 AS power, round(regr_intercept(o_totalprice, o_custkey), 2) AS coefficient FROM orders UNION ALL SELECT 1, round(regr_slope(o_totalprice, o_custkey), 2) FROM orders")
+def _(spark, d):
+    line = observe.polynomial(table(spark, d, "orders"), F.col("o_custkey"), F.col("o_totalprice"))
+    return spark.createDataFrame([(i, round(c, 2)) for i, c in enumerate(line)], "power int, coefficient double")
+
+
+@query("ewma")
+def _(spark, d):
+    return anomaly.ewma(events(spark, d), "user_id", ["ts"], "value").select("event_id", F.round("deviation", 6).alias("deviation"), "is_anomaly")
+
+
+# --- records
+@query("json_edit", "SELECT event_id, '{\"key\":' || json_extract_string(props, '$.k') || ',\"v\":\"1\"}' AS props FROM events")
+def _(spark, d):
+    return transforms.json_edit("props", ("x",), {"k": "key"}, {"v": "1"})(events(spark, d)).select("event_id", "props")
+
+
+@query("json_flatten", "SELECT event_id, '{\"a.b\":' || user_id || ',\"a.c.0\":1,\"a.c.1\":2}' AS value FROM events")
+def _(spark, d):
+    nested = F.to_json(F.struct(F.struct(F.col("user_id").alias("b"), F.array(F.lit(1), F.lit(2)).alias("c")).alias("a")))
+    return transforms.json_flatten("value")(events(spark, d).select("event_id", nested.alias("value")))
+
+
+@query("mask_hash", "SELECT c_custkey, 'masked_' || lpad(lower(to_hex(CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(c_name, ''), lambda c: ord(c)::HUGEINT)), lambda a, b: (a * 31 + b) % 18446744073709551616::HUGEINT) AS UBIGINT))), 16, '0') AS c_name FROM customer")
+def _(spark, d):
+    return transforms.mask("c_name", how="hash")(table(spark, d, "customer")).select("c_custkey", "c_name")
+
+
+@query("timestamp_header", "SELECT event_id, CAST(epoch_us(ts) // 1000 AS VARCHAR) AS at FROM events")
+def _(spark, d):
+    e = events(spark, d).select("event_id", F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))).alias("value"), F.lit(None).cast("map<string,string>").alias("headers"))
+    return transforms.timestamp_header("value", "t")(e).select("event_id", F.col("headers")["x-extracted-timestamp"].alias("at"))
+
+
+@query("cdc_route", "SELECT event_id, CASE WHEN event_type LIKE 'c%' THEN 'c' WHEN event_id % 2 = 0 THEN 'even' ELSE 'rest' END AS topic FROM events")
+def _(spark, d):
+    e = events(spark, d).withColumn("db", F.lit("shop"))
+    return transforms.route_changes([("c", transforms.table_glob("shop.c*", "db", "event_type")), ("even", F.col("event_id") % 2 == 0)], "rest")(e).select("event_id", "topic")
+
+
+# --- materialised views
+@query("view_refresh", "SELECT n_regionkey, sum(n) AS n FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1) JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def _(spark, d):
+    held = Views(spark, scratch(spark, "views"))
+    held.source("customer", table(spark, d, "customer"))
+    held.source("nation", table(spark, d, "nation"))
+    held.define("regions", lambda f: f["nations"].join(f["nation"], F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.sum("n").alias("n")), ["nations", "nation"])
+    held.define("nations", View("customer").where("c_acctbal > 0").group_by("c_nationkey").aggregate(n=F.count("*")))
+    held.refresh("regions")
+    return held.read("regions")
+
+
+@query("view_deltas", "SELECT user_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM events WHERE event_id % 5 <> 0 GROUP BY 1")
+def _(spark, d):
+    e = events(spark, d)
+    first, later = e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1").withColumn("sign", F.lit(1))
+    gone = e.where("event_id % 5 = 0").withColumn("sign", F.lit(-1))
+    return apply_deltas(counted(first, ["user_id"], "event_id"), later.unionByName(gone), ["user_id"], "event_id")
+
+
 # --- streaming, checked against the batch result
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, d):

@@ -12,9 +12,10 @@ PERIODS = {"hour": "yyyy-MM-dd-HH", "day": "yyyy-MM-dd", "month": "yyyy-MM"}
 
 
 def partitioned(df: DataFrame, path: str, ts: str, period: str, mode: str = "append") -> None:
-    """Rows are gathered by period before the write, so a task doesn't open a file of every period."""
+    """Rows are gathered by period before the write, so a task doesn't open a file of every period; AQE splits a period
+    that holds much of the rows over tasks."""
     key = F.date_format(ts, PERIODS[period])
-    df.withColumn("period", key).repartition("period").write.mode(mode).option("compression", "zstd").partitionBy("period").parquet(path)
+    df.withColumn("period", key).hint("rebalance", "period").write.mode(mode).option("compression", "zstd").partitionBy("period").parquet(path)
 
 
 def export(df: DataFrame, path: str, form: str, mode: str = "overwrite") -> None:

@@ -49,6 +49,11 @@ def search(df: DataFrame, text: str, limit: int = 100) -> DataFrame:
     return df.where(F.contains(F.lower("value"), F.lit(text.lower()))).orderBy("offset").limit(min(max(limit, 1), 1000))
 
 
+def sample(df: DataFrame, percent: float, seed: int = 0) -> DataFrame:
+    """Each record with a chance of `percent` in a hundred; the same ones for a seed and an input's partitions."""
+    return df.sample(fraction=percent / 100, seed=seed)
+
+
 def stats(df: DataFrame, start, end, seconds: float) -> DataFrame:
     n = df.where((F.col("timestamp") >= F.lit(start)) & (F.col("timestamp") < F.lit(end))).agg(F.count("*").alias("messages"))
     return n.withColumn("rate", F.col("messages") / seconds)
