@@ -6,6 +6,8 @@ import re
 
 import numpy as np
 
+from .common import trim
+
 #: A space that another white space or the end follows: pieces then aren't just the parts between spaces.
 UNEVEN = re.compile(r" (?=\s|\Z)")
 BEFORE_WORD = re.compile(r"(?= \S)")
@@ -108,7 +110,8 @@ def encoder(path: str) -> Encoder:
 
 
 def chunks(batch, column: int = 1, size: int = 6 << 20):
-    """Parts of an Arrow batch with about `size` bytes in a column, small enough to encode together."""
+    """Parts of an Arrow batch with about `size` bytes in a column, small enough to encode together; what a part took is
+    given back before the next."""
     import pyarrow.compute as pc
 
     group = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)) // size
@@ -116,3 +119,4 @@ def chunks(batch, column: int = 1, size: int = 6 << 20):
     for i, j in zip(edges, edges[1:]):
         if j > i:
             yield batch.slice(i, j - i)
+            trim()
