@@ -86,16 +86,19 @@ class Encoder:
         if not texts:
             return []
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        at, coded = cut.offsets.to_pylist(), cut.values.dictionary_encode()
+        coded = cut.values.dictionary_encode()
         ids = self.look(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        place, out = coded.indices.to_numpy().tolist(), []
-        for text, i, j in zip(texts, at, at[1:]):
+        joined = pa.array(ids, pa.large_binary()).take(coded.indices)  # all pieces' ids, one after the other
+        _, ends, data = joined.buffers()
+        ends, data = np.frombuffer(ends, np.int64)[joined.offset :], memoryview(data or b"")
+        at, out = cut.offsets.to_numpy(), []
+        first, last = ends[np.minimum(at[:-1] + 1, at[1:])].tolist(), ends[at[1:]].tolist()
+        for text, alone, i, j in zip(texts, (np.diff(at) == 1).tolist(), first, last):
             if UNEVEN.search(text):
                 head, *rest = BEFORE_WORD.split(text)
                 out.append(self.whole(head) + b"".join(self.look([x[1:] for x in rest])))
             else:
-                head = text[: text.find(" ")] if j - i > 1 else text
-                out.append(self.whole(head) + b"".join([ids[k] for k in place[i + 1 : j]]))
+                out.append(self.whole(text if alone else text[: text.find(" ")]) + bytes(data[i:j]))
         return out
 
 
