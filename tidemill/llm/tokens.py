@@ -113,8 +113,8 @@ def encoder(path: str) -> Encoder:
 
 
 def chunks(batch, column: int = 1, size: int = 6 << 20):
-    """Parts of an Arrow batch with about `size` bytes in a column, small enough to encode together; what a part took is
-    given back before the next."""
+    """Parts of an Arrow batch with about `size` bytes in a column, small enough to encode together; what a batch took
+    is given back after it."""
     import pyarrow.compute as pc
 
     group = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)) // size
@@ -122,4 +122,4 @@ def chunks(batch, column: int = 1, size: int = 6 << 20):
     for i, j in zip(edges, edges[1:]):
         if j > i:
             yield batch.slice(i, j - i)
-            trim()
+    trim()
