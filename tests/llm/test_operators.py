@@ -196,6 +196,45 @@ def test_op4_keys_meet_under_the_distance():
         assert set(near_dedup.keys(a[None])[0].tolist()) & set(near_dedup.keys(b[None])[0].tolist())
 
 
+def test_op4_foreign_leads_cut_no_link(spark):
+    rng = np.random.default_rng(4)
+    n, size, slots = near_dedup.SIGNATURE, near_dedup.SIGNATURE, near_dedup.SLOTS
+
+    def changed(a, count, start=0):
+        b = a.copy()
+        b[rng.choice(np.arange(start, size), count, replace=False)] ^= 1
+        return b
+
+    signs = {}
+    for group in range(40):
+        lead, a = rng.integers(0, 256, (2, n)).astype(np.uint8)
+        lead[:slots] = a[:slots]  # the lead meets the others in every bucket of the first chunk, by its symbols only
+        if group % 2:  # the lead is just near to one of the two and just not near to the other
+            lead[slots : slots + 72] = a[slots : slots + 72]
+        b = a.copy()
+        for c in range(1, near_dedup.CHUNKS):  # two symbols of each other chunk differ, so that they meet in no other bucket
+            b[c * slots : c * slots + 2] ^= 1
+        signs |= {group: lead, 1000 + group: a, 2000 + group: b, 3000 + group: changed(b, 30, slots), 4000 + group: changed(lead, 25, slots)}
+    up = {i: i for i in signs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    fewest = 117
+    met = {i: set(near_dedup.keys(s[None])[0].tolist()) for i, s in signs.items()}
+    for i, j in itertools.combinations(sorted(signs), 2):
+        if (signs[i] == signs[j]).sum() >= fewest and met[i] & met[j]:
+            up[find(j)] = find(i)
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in signs.items()], "id long, signature binary")
+    for block in (2_000, 1):
+        got = {r["node"]: r["component"] for r in near_dedup.clusters(reps, 0.45, 0.65, block).collect()}
+        assert all(got[i] == got[find(i)] for i in signs if find(i) != i)
+        assert all(got.get(1000 + g) == got.get(2000 + g) is not None for g in range(40))
+        assert all(got.get(g) != got[1000 + g] for g in range(0, 40, 2))
+
+
 def test_components(spark):
     random.seed(4)
     edges = [(random.randrange(200), random.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 400)]

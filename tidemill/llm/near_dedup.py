@@ -9,6 +9,7 @@ a similarity of 0.85, 1 pair in a million does not, at 0.8 1 in 4,000 (18 chunks
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, text_bytes
+from .common import partitions, scratch, text_bytes
 from .components import components
 from .shingles import shingles
 
@@ -67,13 +68,31 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return scratch(docs.mapInArrow(of, "id long, n_shingles long, digest binary, signature binary"), "sketches")
 
 
-def clusters(reps: DataFrame, near: float) -> DataFrame:
+def bucket_links(ids: np.ndarray, signs: np.ndarray, met: np.ndarray, block: np.ndarray, between: bool, fewest: int) -> list[tuple[int, int]]:
+    """Links that connect all pairs (or all between two blocks) with `fewest` equal symbols; rows that met the lead are one."""
+    up, links = np.where(met, -1, np.arange(len(ids))), []
+    for i in np.flatnonzero(~met):
+        rest = np.flatnonzero((up != up[i]) & (block != block[i]) if between else up != up[i])
+        for j in rest[(signs[rest] == signs[i]).sum(axis=1) >= fewest]:
+            if up[i] != up[j]:
+                links.append((int(ids[i]), int(ids[j])))
+                up[up == up[j]] = up[i]
+    return links
+
+
+def clusters(reps: DataFrame, near: float, least: float, block: int = 2_000) -> DataFrame:
     """node, component: classes that a bucket leads to each other, before any set is compared.
 
-    Of a bucket only pairs (member, least member) are made, so a bucket of n makes n - 1. A pair stays if the share of
-    equal symbols is at least `near`, well under any similarity that is asked for: two members of a bucket that are
-    similar are both near its least member, or meet in the buckets that they share without it.
+    All pairs of a bucket whose signatures agree in a share of `least` or more are connected. Each member is compared with
+    the bucket's least member, its lead, and linked with it from a share of `near` on: a bucket of n makes n - 1 pairs. A
+    bucket that is not linked whole (its lead may share the bucket's symbols and no others) has the members that aren't
+    compared with all the rest, but for members so near to the lead that what agrees with them in `least` is linked with
+    the lead anyhow (by the triangle inequality). A large rest is compared in blocks, each pair of blocks apart. Buckets
+    of the same members count once.
     """
+    fewest = int(np.ceil(least * SIGNATURE - 1e-9))
+    nearest = min(fewest, int(np.ceil(near * SIGNATURE - 1e-9)))
+    deep = SIGNATURE + nearest - fewest  # distance to the lead + SIGNATURE - fewest <= SIGNATURE - nearest
 
     def expand(batches):
         for batch in batches:
@@ -83,18 +102,55 @@ def clusters(reps: DataFrame, near: float) -> DataFrame:
                 k = keys(signs[i : i + 2_000]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(ids[i : i + 2_000], SIGNATURE))], ["key", "id"])
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("int")
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
         if not len(a):
-            return pd.Series([], dtype=float)
+            return pd.Series([], dtype="int32")
         x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, SIGNATURE) for s in (a, b))
-        return pd.Series((x == y).mean(axis=1))
+        return pd.Series((x == y).sum(axis=1).astype(np.int32))
+
+    group = ["lead", "bucket", "one", "two"]
+
+    def compare(batches):
+        """Sorted rows, group by group; the last group of a batch waits for the next batch."""
+        held = []
+        for batch in itertools.chain(batches, [None]):
+            rows = pa.Table.from_batches(held + [batch] if batch is not None else held) if held or batch is not None else None
+            if rows is None or not len(rows):
+                continue
+            of = np.stack([rows.column(c).to_numpy() for c in group])
+            ends = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1
+            starts = np.concatenate([[0], ends])
+            if batch is None:
+                ends = np.append(ends, len(rows))
+            held = rows.slice(starts[-1]).to_batches()
+            ids, met, part = (rows.column(c).to_numpy() for c in ("id", "met", "block"))
+            signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+            links = []
+            for i, j in zip(starts, ends):
+                links += bucket_links(ids[i:j], signs[i:j], met[i:j], part[i:j], of[2, i] != of[3, i], fewest)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     rows = reps.select("id", "signature").mapInArrow(expand, "key long, id long")
-    pairs = rows.withColumn("lead", F.min("id").over(Window.partitionBy("key"))).where("id <> lead").select("id", "lead").distinct()
+    key = Window.partitionBy("key")
+    buckets = rows.select("id", F.min("id").over(key).alias("lead"), F.bit_xor(F.xxhash64("id")).over(key).alias("bucket"))
+    buckets = scratch(buckets.where("id <> lead").distinct(), "buckets")
     signs = reps.select(F.col("id").alias("lead"), F.col("signature").alias("other"))
-    met = pairs.join(reps.select("id", "signature"), "id").join(signs, "lead")
-    return components(met.where(agreement("signature", "other") >= near).select(F.col("id").alias("a"), F.col("lead").alias("b")))
+    pairs = buckets.select("id", "lead").distinct().join(reps.select("id", "signature"), "id").join(signs, "lead")
+    met = scratch(pairs.select("id", "lead", agreement("signature", "other").alias("equal")), "met")
+    rest = buckets.join(met.where(F.col("equal") < deep), ["id", "lead"]).withColumn("met", F.col("equal") >= nearest)
+    sizes = rest.groupBy("lead", "bucket").agg(F.count("*").alias("n"), F.bool_and("met").alias("whole")).where("n > 1 AND NOT whole")
+    rest = rest.join(sizes.select("lead", "bucket", (1 + F.floor(F.col("n") / block)).cast("int").alias("blocks")), ["lead", "bucket"])
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rest.select("lead", "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "met").join(reps.select("id", "signature"), "id")
+    dealt = dealt.repartition(partitions(reps.sparkSession), *group).sortWithinPartitions(*group)
+    more = dealt.select(*group, "block", "id", "met", "signature").mapInArrow(compare, "a long, b long")
+    return components(met.where(F.col("equal") >= nearest).select(F.col("id").alias("a"), F.col("lead").alias("b")).unionByName(more))
+
+
+def least_agreement(percent: int) -> float:
+    """Share of equal symbols that two sets of the similarity asked for have: five standard deviations and more below it."""
+    return max(0.0, percent / 100 - 0.2)
 
 
 def confirm(rows: pd.DataFrame, width: int, percent: int) -> list[tuple[int, int]]:
@@ -107,7 +163,7 @@ def confirm(rows: pd.DataFrame, width: int, percent: int) -> list[tuple[int, int
     signs = np.stack([signature(s) for s in sets])
     block = rows["block"].to_numpy()
     between = rows["one"].iloc[0] != rows["two"].iloc[0]
-    least = max(0.0, percent / 100 - 0.2)  # five standard deviations and more below the similarity asked for
+    least = least_agreement(percent)
     up, links = np.arange(len(ids)), []
     for i in range(len(ids) - 1):
         rest = np.arange(i + 1, len(ids))
@@ -143,7 +199,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, near: fl
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("raw"))
     held = sketch(rows, width)
     reps = scratch(held.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "classes")
-    found = clusters(reps, near).withColumnsRenamed({"node": "id", "component": "cluster"})
+    found = clusters(reps, near, least_agreement(percent)).withColumnsRenamed({"node": "id", "component": "cluster"})
     sized = found.join(reps.select("id", "n"), "id")
     blocks = sized.groupBy("cluster").agg(F.sum(F.col("n") * 8 + 64).alias("bytes")).select("cluster", (1 + F.floor(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
     members = found.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
