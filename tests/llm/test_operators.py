@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -138,6 +139,23 @@ def test_op3_blocks_give_the_same_shares(spark):
     assert abs(got["t"] - got["g"]) < 0.02 * got["g"]
 
 
+def test_op3_equals_its_sql_in_blocks(spark):
+    random.seed(8)
+    rows = [(i * 7919 % 20_011, "w " * random.choice((3, 3, 3, random.randint(0, 40))), "hot" if i % 10 else random.choice(("b", None))) for i in range(9_000)]
+    rows += [(None, "w w w", "hot")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.execute("INSERT INTO documents SELECT unnest($1), unnest($2), unnest($3)", [list(c) for c in zip(*rows)])
+    want = {r[0]: r[1:] for r in con.sql(mixing.SQL).fetchall()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    for options in ({}, {"block": 50}):
+        got = {r[0]: tuple(r)[1:] for r in mixing.taken(docs, **options).collect()}
+        assert got.keys() == want.keys()
+        assert [got[d][::3] for d in want] == [want[d][::3] for d in want]
+    times = Counter(r["doc_id"] for r in mixing.mixed_documents(docs, block=50).collect())
+    assert all(times[d] * w[0] == w[3] for d, w in want.items() if w[0])
+
+
 def brute_components(sets, percent):
     up = {d: d for d in sets}
 

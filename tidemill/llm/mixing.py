@@ -37,26 +37,26 @@ def copies(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix",
     that, exactly. They stand in the order of size (then doc_id), which holds the words taken near the target. A hashed
     offset of the source shifts the sums; a document is emitted once for each whole number that its interval crosses.
 
-    A source's order is cut into size classes, and a class into hashed blocks of about `block` rows; the blocks' counts
-    give each block's first place, so a hot source is spread over many tasks.
+    The order of (source, size, doc_id) is cut into ranges of about `block` rows, within one size too; the ranges' counts
+    give each range's first place, so a hot source is spread over many tasks and every place is that of the whole order.
 
-    Null or blank text: size 0. Null source: a source of its own, last. Repeated rows: a place each. No rows: no rows.
+    Null or blank text: size 0. Null source: a source of its own, last. Null doc_id: last of its size. Repeated rows: a
+    place each. No rows: no rows.
     """
     thin = docs.select(
         F.col("doc_id").alias("id"),
         F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name")).alias("src"),
         F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
-    thin = scratch(thin, "mix")
-    thin = thin.withColumn("class", F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * 4).cast("int") + 1).otherwise(0))
-    classes = thin.groupBy("src", "class").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
-    goal = targets(classes.groupBy("src").agg(F.sum("words").alias("source_size")), weights, cap)
-    thin = thin.join(classes.select("src", "class", (1 + F.floor(F.col("rows") / block)).cast("long").alias("blocks")), ["src", "class"])
-    thin = thin.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    thin = thin.repartition(partitions(docs.sparkSession), "src", "class", "block")  # else a join's exchange by class stands for it
-    before = Window.partitionBy("src").orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)
-    first = thin.groupBy("src", "class", "block").agg(F.count("*").alias("rows")).select("src", "class", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
-    placed = thin.withColumn("n", F.row_number().over(Window.partitionBy("src", "class", "block").orderBy("size", "id"))).join(first, ["src", "class", "block"]).join(goal, "src")
+    thin = scratch(thin.withColumn("row", F.monotonically_increasing_id()), "mix")
+    order = ["size", F.asc_nulls_last("id"), "row"]  # row: so that a range can end among repeated rows
+    ranges = max(partitions(docs.sparkSession), 1 + thin.count() // block)
+    thin = scratch(thin.repartitionByRange(ranges, "src", *order).withColumn("block", F.spark_partition_id()), "mix-ranges")
+    blocks = thin.groupBy("src", "block").agg(F.count("*").alias("rows"), F.sum("size").alias("words"))
+    goal = targets(blocks.groupBy("src").agg(F.sum("words").alias("source_size")), weights, cap)
+    before = Window.partitionBy("src").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first = blocks.select("src", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first")).join(goal, "src")
+    placed = thin.withColumn("n", F.row_number().over(Window.partitionBy("src", "block").orderBy(*order))).join(first, ["src", "block"])
     name = F.when(F.col("src.none"), F.lit(f"{seed}|null")).otherwise(F.concat(F.lit(f"{seed}:"), F.col("src.name")))
     offset = (F.conv(F.substring(F.md5(name), 1, 4), 16, 10).cast("double") + 0.5) / 65536
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -68,7 +68,7 @@ def copies(docs: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix",
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as `copies` says, with its columns."""
     held = scratch(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_row")), "mix-docs")
-    rows = held.select(F.struct("doc.doc_id", "_row").alias("doc_id"), "doc.source", "doc.text")
+    rows = held.select(F.struct(F.col("doc.doc_id").isNull().alias("none"), "doc.doc_id", "_row").alias("doc_id"), "doc.source", "doc.text")
     times = copies(rows, **options).where("copies > 0").select(F.col("doc_id._row").alias("_row"), F.col("copies").cast("int").alias("_copies"))
     return held.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc.*")
 
