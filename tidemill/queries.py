@@ -671,6 +671,13 @@ def _(spark, d):
     return knn_in_cells(spark, d, CELLS)
 
 
+@query("knn_stated_set", KNN)
+def _(spark, d):
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return vector.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 5).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("semantic_partitions")
 def _(spark, d):
     v = table(spark, d, "embeddings")
@@ -690,6 +697,13 @@ def _(spark, d):
     return embedding.subscribe(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), standing, 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("subscription_stated_set", f"SELECT a.vec_id AS id, b.vec_id AS subscription, round({COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 AND {COS} >= 0.3")
+def _(spark, d):
+    v = table(spark, d, "embeddings")
+    standing = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("subscription"), F.col("embedding").alias("query"))
+    return embedding.subscribe(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), standing, 0.3).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("chunk_recursive")
 def _(spark, d):
     return embedding.chunk(table(spark, d, "documents"), "doc_id", "text", 500)
