@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +17,7 @@ from .plans import questions
 from .plans.builder import Pipeline, flow
 from .plans.catalog import Catalog
 from .plans.views import View, Views, apply_deltas, counted
+from .session import scratch_path as scratch
 from .sources import sinks, topics
 from .streaming import runs
 
@@ -57,11 +56,6 @@ def sql(name: str, statement: str, oracle: str | None = None, time_column: str =
     ORACLE[name] = oracle or statement
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemill-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def events(spark, d):
     return table(spark, d, "events")
 
