@@ -200,8 +200,40 @@ def test_op4_small_blocks_lose_no_link(spark):
         texts[i] = " ".join(w)
     want = brute_components(word_sets(texts, 3), 85)
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for block in (6 << 20, 20_000):
-        assert {r[0]: r[2] for r in near_dedup.near_duplicates(rows, block_bytes=block).collect()} == want
+    for block in (128, 3):
+        assert {r[0]: r[2] for r in near_dedup.near_duplicates(rows, block=block).collect()} == want
+
+
+def test_op4_chains_and_bridges_are_settled_on_whole_sets(spark):
+    """Groups in which near signatures don't link, and links that only the least similar members make."""
+    random.seed(12)
+    words = [f"w{i}" for i in range(5000)]
+    texts, n = {}, 0
+    for _ in range(12):
+        w = random.choices(words, k=260)
+        for _ in range(25):  # a chain: each text is near to its neighbours, its ends are not near to each other
+            for _ in range(random.randint(2, 9)):
+                w[random.randrange(260)] = random.choice(words)
+            texts[n * 7919 % 1009] = " ".join(w)
+            n += 1
+    want = brute_components(word_sets(texts, 3), 85)
+    assert 12 < len(set(want.values())) < 250
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    for block in (128, 2):
+        assert {r[0]: r[2] for r in near_dedup.near_duplicates(rows, block=block).collect()} == want
+
+
+def test_op4_repeated_rows_and_one_row_of_each_group(spark):
+    random.seed(13)
+    a, b = (" ".join(random.choices("abcdefgh", k=60)) for _ in range(2))
+    rows = [(1, a, "x"), (1, a, "x"), (2, a, "y"), (3, b, "z"), (2, b, "q"), (None, a, "n"), (None, None, "e"), (5, "", "e"), (6, " ", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3)
+    got = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (-1, -1, True), (-1, -1, True), (5, 5, True), (6, 6, True)])
+    left = near_dedup.without_near_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in left.where("trim(text) <> ''").collect()) == sorted([(1, a), (2, b)])
+    assert left.where("text IS NULL OR trim(text) = ''").count() == 3
 
 
 def test_op4_keys_meet_under_the_distance():
@@ -245,9 +277,12 @@ def test_op4_foreign_leads_cut_no_link(spark):
     for i, j in itertools.combinations(sorted(signs), 2):
         if (signs[i] == signs[j]).sum() >= fewest and met[i] & met[j]:
             up[find(j)] = find(i)
-    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in signs.items()], "id long, signature binary")
-    for block in (2_000, 1):
-        got = {r["node"]: r["component"] for r in near_dedup.clusters(reps, 0.45, 0.65, block).collect()}
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in signs.items()], "node long, signature binary")
+    apart = spark.createDataFrame([], "node long, component long")
+    found = near_dedup.buckets(reps)
+    near = near_dedup.near_leads(found, reps, fewest)
+    for block in (128, 1):
+        got = {r["node"]: r["component"] for r in components.components(near_dedup.open_links(found, near, apart, reps, fewest, block)).collect()}
         assert all(got[i] == got[find(i)] for i in signs if find(i) != i)
         assert all(got.get(1000 + g) == got.get(2000 + g) is not None for g in range(40))
         assert all(got.get(g) != got[1000 + g] for g in range(0, 40, 2))

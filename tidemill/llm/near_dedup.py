@@ -4,17 +4,21 @@ Signatures have CHUNKS x SLOTS symbols of 8 bits. If two signatures differ in at
 differs in at most one (pigeonhole), so they meet under one of the chunk's keys, each of which leaves one symbol out:
 all pairs under that signature distance meet. Pairs further apart still meet if any chunk has at most one difference; at
 a similarity of 0.85, 1 pair in a million does not, at 0.8 1 in 4,000 (18 chunks).
+
+Sets are sets of 64-bit hashes of shingles: that two different shingles of a corpus of n have one hash has a chance of
+about n^2 / 2^65 in all, and changes one set by one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, scratch, text_bytes
@@ -68,39 +72,62 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return scratch(docs.mapInArrow(of, "id long, n_shingles long, digest binary, signature binary"), "sketches")
 
 
-def bucket_links(ids: np.ndarray, signs: np.ndarray, met: np.ndarray, block: np.ndarray, between: bool, fewest: int) -> list[tuple[int, int]]:
-    """Links that connect all pairs (or all between two blocks) with `fewest` equal symbols; rows that met the lead are one."""
-    up, links = np.where(met, -1, np.arange(len(ids))), []
-    for i in np.flatnonzero(~met):
-        rest = np.flatnonzero((up != up[i]) & (block != block[i]) if between else up != up[i])
-        for j in rest[(signs[rest] == signs[i]).sum(axis=1) >= fewest]:
-            if up[i] != up[j]:
-                links.append((int(ids[i]), int(ids[j])))
-                up[up == up[j]] = up[i]
-    return links
+def fewest_equal(percent: int) -> int:
+    """Equal symbols that a pair of the similarity asked for has, but for one in 10^9 (six standard deviations)."""
+    p = percent / 100
+    return max(0, math.floor(SIGNATURE * p - 6 * math.sqrt(SIGNATURE * p * (1 - p))))
 
 
-def clusters(reps: DataFrame, near: float, least: float, block: int = 2_000) -> DataFrame:
-    """node, component: classes that a bucket leads to each other, before any set is compared.
+def last_block(n: str, block: int) -> Column:
+    """Number of the last block of a group of n rows: groups of up to `block` rows stay whole, the largest have blocks of
+    2,000 rows, so that every block is small and few pairs of blocks are met."""
+    rows = F.greatest(F.lit(block), F.least(F.lit(2_000), 4 * F.sqrt(F.col(n))))
+    return F.floor(F.col(n) / rows).cast("int")
 
-    All pairs of a bucket whose signatures agree in a share of `least` or more are connected. Each member is compared with
-    the bucket's least member, its lead, and linked with it from a share of `near` on: a bucket of n makes n - 1 pairs. A
-    bucket that is not linked whole (its lead may share the bucket's symbols and no others) has the members that aren't
-    compared with all the rest, but for members so near to the lead that what agrees with them in `least` is linked with
-    the lead anyhow (by the triangle inequality). A large rest is compared in blocks, each pair of blocks apart. Buckets
-    of the same members count once.
-    """
-    fewest = int(np.ceil(least * SIGNATURE - 1e-9))
-    nearest = min(fewest, int(np.ceil(near * SIGNATURE - 1e-9)))
-    deep = SIGNATURE + nearest - fewest  # distance to the lead + SIGNATURE - fewest <= SIGNATURE - nearest
+
+def dealt(n: str, node: str, block: int) -> Column:
+    """The block of a node in a group of n."""
+    return F.pmod(F.xxhash64(node), 1 + last_block(n, block)).cast("int")
+
+
+def runs(batches, names: list[str]):
+    """Tables of rows that are equal in the columns named, from sorted batches; at most one run is held."""
+    held = []
+    for batch in itertools.chain(batches, [None]):
+        rows = pa.Table.from_batches(held + [batch] if batch is not None else held) if held or batch is not None else None
+        if rows is None or not len(rows):
+            continue
+        of = np.stack([rows.column(c).to_numpy() for c in names])
+        edge = [0, *(np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1).tolist(), len(rows)]
+        last = len(edge) - (1 if batch is None else 2)
+        for i, j in zip(edge[:last], edge[1 : last + 1]):
+            yield rows.slice(i, j - i)
+        held = rows.slice(edge[last]).to_batches() if batch is not None else []
+
+
+def signatures(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """node, lead, bucket: the members of each key, but for the least of them, which leads them; keys with the same
+    members are one bucket. Keys are counted before any member is shuffled, and those of one member go."""
 
     def expand(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            signs = np.array([np.frombuffer(s, np.uint8) for s in batch.column(1).to_pylist()]).reshape(-1, SIGNATURE)
-            for i in range(0, len(ids), 2_000):
+            nodes, signs = batch.column(0).to_numpy(zero_copy_only=False), signatures(batch.column(1))
+            for i in range(0, len(nodes), 2_000):
                 k = keys(signs[i : i + 2_000]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(ids[i : i + 2_000], SIGNATURE))], ["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(nodes[i : i + 2_000], SIGNATURE))], ["key", "node"])
+
+    rows = reps.select("node", "signature").mapInArrow(expand, "key long, node long")
+    met = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("bucket"))
+    met = scratch(met.where("n > 1").select("key", "lead", "bucket"), "keys")
+    return scratch(rows.join(met, "key").where("node <> lead").select("node", "lead", "bucket").distinct(), "buckets")
+
+
+def near_leads(found: DataFrame, reps: DataFrame, fewest: int) -> DataFrame:
+    """node, lead, equal: members that agree with the lead of a bucket in `fewest` symbols or more."""
 
     @F.pandas_udf("int")
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -109,69 +136,85 @@ def clusters(reps: DataFrame, near: float, least: float, block: int = 2_000) ->
         x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, SIGNATURE) for s in (a, b))
         return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
+    signs = reps.select(F.col("node").alias("lead"), F.col("signature").alias("other"))
+    pairs = found.select("node", "lead").distinct().join(reps.select("node", "signature"), "node").join(signs, "lead")
+    return scratch(pairs.select("node", "lead", agreement("signature", "other").alias("equal")).where(F.col("equal") >= fewest), "near")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (node, lead) with 100 * intersection >= percent * union. A lead's members are dealt to blocks, and each block
+    gets the lead's set."""
+    sizes = pairs.groupBy("lead").agg(F.count("*").alias("n"))
+    placed = pairs.join(sizes, "lead").select("lead", "node", dealt("n", "node", block).alias("block"))
+    heads = placed.select("lead", F.col("lead").alias("node"), "block").distinct()
+    rows = placed.unionByName(heads).join(sets, "node").repartition(partitions(pairs.sparkSession), "lead", "block")
+    rows = rows.sortWithinPartitions("lead", "block", F.col("node") != F.col("lead"))
+
+    def test(batches):
+        lead, own = None, None
+        for batch in batches:
+            out = []
+            for of, node, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3))):
+                held = np.frombuffer(raw, np.uint64)
+                if of == node:
+                    lead, own = of, held
+                elif of == lead:
+                    both = int((own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held).sum())
+                    if 100 * both >= percent * (len(own) + len(held) - both):
+                        out.append((node, of))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return scratch(rows.select("lead", "node", "block", "set").mapInArrow(test, "a long, b long"), "links")
+
+
+def open_links(found: DataFrame, near: DataFrame, of: DataFrame, reps: DataFrame, fewest: int, block: int) -> DataFrame:
+    """Pairs (a, b) of components that near pairs still connect: a lead and its member, or two members of a bucket.
+
+    Buckets whose members are all of one component are done; the others' members of different components are compared,
+    large buckets in blocks, each pair of blocks apart.
+    """
+    home = F.coalesce("component", F.col("node"))
+    member, lead = of.select("node", F.col("component").alias("one")), of.select(F.col("node").alias("lead"), F.col("component").alias("two"))
+    left = near.join(member, "node", "left").join(lead, "lead", "left").select(F.coalesce("one", "node").alias("a"), F.coalesce("two", "lead").alias("b")).where("a <> b")
+    rows = found.join(of, "node", "left").withColumn("home", home).drop("component")
+    sizes = rows.groupBy("lead", "bucket").agg(F.count("*").alias("n"), (F.min("home") == F.max("home")).alias("whole")).where("n > 1 AND NOT whole")
+    rest = rows.join(sizes.select("lead", "bucket", "n"), ["lead", "bucket"]).withColumn("block", dealt("n", "node", block))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), last_block("n", block))))
     group = ["lead", "bucket", "one", "two"]
+    rest = rest.select("lead", "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "home", "node")
+    rest = rest.join(reps.select("node", "signature"), "node").repartition(partitions(reps.sparkSession), *group).sortWithinPartitions(*group)
 
     def compare(batches):
-        """Sorted rows, group by group; the last group of a batch waits for the next batch."""
-        held = []
-        for batch in itertools.chain(batches, [None]):
-            rows = pa.Table.from_batches(held + [batch] if batch is not None else held) if held or batch is not None else None
-            if rows is None or not len(rows):
-                continue
-            of = np.stack([rows.column(c).to_numpy() for c in group])
-            ends = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(axis=0)) + 1
-            starts = np.concatenate([[0], ends])
-            if batch is None:
-                ends = np.append(ends, len(rows))
-            held = rows.slice(starts[-1]).to_batches()
-            ids, met, part = (rows.column(c).to_numpy() for c in ("id", "met", "block"))
-            signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE)
-            links = []
-            for i, j in zip(starts, ends):
-                links += bucket_links(ids[i:j], signs[i:j], met[i:j], part[i:j], of[2, i] != of[3, i], fewest)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    rows = reps.select("id", "signature").mapInArrow(expand, "key long, id long")
-    key = Window.partitionBy("key")
-    buckets = rows.select("id", F.min("id").over(key).alias("lead"), F.bit_xor(F.xxhash64("id")).over(key).alias("bucket"))
-    buckets = scratch(buckets.where("id <> lead").distinct(), "buckets")
-    signs = reps.select(F.col("id").alias("lead"), F.col("signature").alias("other"))
-    pairs = buckets.select("id", "lead").distinct().join(reps.select("id", "signature"), "id").join(signs, "lead")
-    met = scratch(pairs.select("id", "lead", agreement("signature", "other").alias("equal")), "met")
-    rest = buckets.join(met.where(F.col("equal") < deep), ["id", "lead"]).withColumn("met", F.col("equal") >= nearest)
-    sizes = rest.groupBy("lead", "bucket").agg(F.count("*").alias("n"), F.bool_and("met").alias("whole")).where("n > 1 AND NOT whole")
-    rest = rest.join(sizes.select("lead", "bucket", (1 + F.floor(F.col("n") / block)).cast("int").alias("blocks")), ["lead", "bucket"])
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = rest.select("lead", "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "met").join(reps.select("id", "signature"), "id")
-    dealt = dealt.repartition(partitions(reps.sparkSession), *group).sortWithinPartitions(*group)
-    more = dealt.select(*group, "block", "id", "met", "signature").mapInArrow(compare, "a long, b long")
-    return components(met.where(F.col("equal") >= nearest).select(F.col("id").alias("a"), F.col("lead").alias("b")).unionByName(more))
-
-
-def least_agreement(percent: int) -> float:
-    """Share of equal symbols that two sets of the similarity asked for have: five standard deviations and more below it."""
-    return max(0.0, percent / 100 - 0.2)
-
-
-def confirm(rows: pd.DataFrame, width: int, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what 100 * intersection >= percent * union connects in a cluster (or between two blocks)."""
-    sets = [shingles(raw, width) for raw in rows["raw"]]
-    ids, sizes = rows["id"].to_numpy(), np.array([len(s) for s in sets])
+        for rows in runs(batches, group):
+            homes, blocks, signs = rows.column("home").to_numpy(), rows.column("block").to_numpy(), signatures(rows.column("signature"))
+            between, up, out = rows.column("one")[0] != rows.column("two")[0], homes.copy(), []
+            for i in range(len(homes)):
+                near_ = np.flatnonzero((up != up[i]) & (blocks != blocks[i]) if between else up != up[i])
+                for j in near_[(signs[near_] == signs[i]).sum(axis=1) >= fewest]:
+                    if up[j] != up[i]:
+                        out.append((homes[i], homes[j]))
+                        up[up == up[j]] = up[i]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    more = rest.select(*group, "block", "home", "signature").mapInArrow(compare, "a long, b long")
+    return scratch(left.unionByName(more).distinct(), "open")
+
+
+def linked(sets: list[np.ndarray], signs: np.ndarray, homes: np.ndarray, sides: np.ndarray | None, percent: int, fewest: int) -> list[tuple[int, int]]:
+    """Places (i, j) of links that connect what 100 * intersection >= percent * union connects, beyond what is of one
+    home; with sides, only pairs of different sides are looked at."""
+    sizes = np.array([len(s) for s in sets])
     first = np.concatenate([[0], np.cumsum(sizes)])
     _, dense = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(dense.max() + 1, np.int64)
-    signs = np.stack([signature(s) for s in sets])
-    block = rows["block"].to_numpy()
-    between = rows["one"].iloc[0] != rows["two"].iloc[0]
-    least = least_agreement(percent)
-    up, links = np.arange(len(ids)), []
-    for i in range(len(ids) - 1):
-        rest = np.arange(i + 1, len(ids))
-        ok = (up[rest] != up[i]) & (100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i]))
-        if between:
-            ok &= block[rest] != block[i]
-        rest = rest[ok]
-        rest = rest[(signs[rest] == signs[i]).mean(axis=1) >= least]
+    up, links = homes.copy(), []
+    for i in range(len(sizes)):
+        ok = (up != up[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        ok[: i + 1] = False
+        if sides is not None:
+            ok &= sides != sides[i]
+        rest = np.flatnonzero(ok)
+        rest = rest[(signs[rest] == signs[i]).sum(axis=1) >= fewest]
         if not len(rest):
             continue
         mark[dense[first[i] : first[i + 1]]] = 1
@@ -179,43 +222,114 @@ def confirm(rows: pd.DataFrame, width: int, percent: int) -> list[tuple[int, int
         mark[dense[first[i] : first[i + 1]]] = 0
         for j in rest[100 * both >= percent * (sizes[i] + sizes[rest] - both)]:
             if up[i] != up[j]:
-                links.append((int(ids[i]), int(ids[j])))
+                links.append((i, int(j)))
                 up[up == up[j]] = up[i]
     return links
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, near: float = 0.45, block_bytes: int = 6 << 20) -> DataFrame:
+def settled(clusters: DataFrame, of: DataFrame, sets, reps: DataFrame, percent: int, fewest: int, block: int) -> DataFrame:
+    """Links between the components (node) of a cluster (component), by comparing their members' whole sets.
+
+    The largest component of a cluster is compared with the others only, block by block; the others also with each other.
+    """
+    own = clusters.withColumnsRenamed({"node": "home", "component": "cluster"})
+    rows = own.join(of.withColumnRenamed("component", "home"), "home", "left").select("cluster", "home", F.coalesce("node", "home").alias("node"))
+    rows = scratch(rows, "cluster-members")
+    sizes = rows.groupBy("cluster", "home").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("cluster").agg(F.max(F.struct("n", "home")).alias("top"), F.sum("n").alias("all"))
+    most = most.select("cluster", F.col("top.home").alias("main"), F.col("top.n").alias("mains"), (F.col("all") - F.col("top.n")).alias("rest"))
+    rows = rows.join(most, "cluster").withColumn("is_main", F.col("home") == F.col("main"))
+    rows = rows.withColumn("block", F.when(F.col("is_main"), dealt("mains", "node", block)).otherwise(dealt("rest", "node", block)))
+    across = F.sequence(F.lit(0), F.when(F.col("is_main"), last_block("rest", block)).otherwise(last_block("mains", block)))
+    group = ["cluster", "kind", "one", "two"]
+    side = F.col("is_main").cast("int").alias("side")
+    first = rows.withColumn("other", F.explode(across)).select("cluster", F.lit(0).alias("kind"), F.when(F.col("is_main"), F.col("block")).otherwise(F.col("other")).alias("one"), F.when(F.col("is_main"), F.col("other")).otherwise(F.col("block")).alias("two"), side, "home", "node")
+    second = rows.where("NOT is_main").withColumn("other", F.explode(F.sequence(F.lit(0), last_block("rest", block))))
+    second = second.select("cluster", F.lit(1).alias("kind"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.col("block").alias("side"), "home", "node")
+    held = sets(rows.select("node"))
+    every = first.unionByName(second).join(held, "node").join(reps.select("node", "signature"), "node")
+    every = every.repartition(partitions(reps.sparkSession), *group).sortWithinPartitions(*group)
+
+    def compare(batches):
+        for rows in runs(batches, group):
+            kind, one, two = (rows.column(c)[0].as_py() for c in group[1:])
+            nodes, homes, sides = (rows.column(c).to_numpy() for c in ("node", "home", "side"))
+            apart = kind == 0 or one != two
+            found = []
+            if not apart or len(np.unique(sides)) > 1:
+                found = linked([np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()], signatures(rows.column("signature")), homes, sides if apart else None, percent, fewest)
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return scratch(every.select(*group, "side", "home", "node", "signature", "set").mapInArrow(compare, "a long, b long"), "links")
+
+
+def links(reps: DataFrame, sets, percent: int, block: int = 128) -> DataFrame:
+    """Links (a, b) whose components are those of 100 * intersection >= percent * union over pairs that meet in a key.
+
+    reps: node, signature. sets(nodes): node, set (sorted hashes). Each member is tested against its best lead; what near
+    pairs connect beyond that is compared in full, but for pairs that are of one component already.
+    """
+    fewest = fewest_equal(percent)
+    found = buckets(reps)
+    near = near_leads(found, reps, fewest)
+    best = near.groupBy("node").agg(F.max_by("lead", F.struct("equal", -F.col("lead"))).alias("lead"))
+    some = confirmed(best, sets(best.select("node").union(best.select("lead"))), percent, block)
+    of = components(some)
+    left = open_links(found, near, of, reps, fewest, block)
+    if left.isEmpty():
+        return some
+    return some.unionByName(settled(components(left), of, sets, reps, percent, fewest, block))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, block: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: components of the links 100 * intersection >= percent * union.
 
-    Documents with equal sets are one class, represented by the least doc_id; only classes are compared. Candidates come
-    from clusters(). A cluster's texts are compared in one task if they are small, else in blocks of about block_bytes,
-    each pair of blocks in a task of its own: no cluster meets in one task and none is cut short. A task skips pairs that
-    earlier links of it already connect. Within a task, pairs whose signatures agree in fewer than percent - 20 % of the
-    symbols aren't compared.
+    Documents with equal sets are one class, and only classes are compared. Candidate pairs come from the signatures'
+    keys; a component's links are confirmed on whole sets. Groups of more than `block` rows are dealt to blocks, none is cut short.
 
     No words (or null text): n_shingles 0, linked with nothing. Null doc_id: a row with a null component, linked with
-    nothing and kept. Repeated doc_ids: one document, in each of its rows. No rows: no rows.
+    nothing and kept. Repeated doc_ids: one document, linked by the set of each of its rows. No rows: no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_bytes().alias("raw"))
     held = sketch(rows, width)
-    reps = scratch(held.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "classes")
-    found = clusters(reps, near, least_agreement(percent)).withColumnsRenamed({"node": "id", "component": "cluster"})
-    sized = found.join(reps.select("id", "n"), "id")
-    blocks = sized.groupBy("cluster").agg(F.sum(F.col("n") * 8 + 64).alias("bytes")).select("cluster", (1 + F.floor(F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
-    members = found.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = rows.join(members, "id").dropDuplicates(["id"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = texts.withColumn("other", other).select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "raw")
-
-    def link(group: pa.Table) -> pa.Table:
-        rows = group.to_pandas()
-        rows = rows.sort_values("id", ignore_index=True)
-        got = confirm(rows, width, percent) if len(rows) > 1 else []
-        return pa.table({"a": pa.array([a for a, _ in got], pa.int64()), "b": pa.array([b for _, b in got], pa.int64())})
-
-    links = dealt.groupBy("cluster", "one", "two").applyInArrow(link, "a long, b long")
-    joined = components(links).withColumnsRenamed({"node": "rep"})
-    classes = reps.select("digest", F.col("id").alias("rep")).join(joined, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    named = held.where("id IS NOT NULL").join(classes, "digest", "left")
-    kept = named.select("id", "n_shingles", F.coalesce("component", "id").alias("component")).unionByName(held.where("id IS NULL").select("id", "n_shingles", F.col("id").alias("component")))
-    return kept.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    reps = held.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
+    reps = scratch(reps.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        wanted = reps.join(nodes.distinct(), "node", "left_semi").select("id", "digest", "node")
+
+        def of(batches):
+            for batch in batches:
+                out = []
+                for node, digest, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    s = shingles(raw, width)
+                    if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:  # a doc_id may come with other texts too
+                        out.append((node, s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "set"])
+
+        return scratch(rows.join(wanted, "id").select("node", "digest", "raw").mapInArrow(of, "node long, set binary").dropDuplicates(["node"]), "sets")
+
+    same = held.where("digest IS NOT NULL AND id IS NOT NULL").select("id", "digest").distinct()
+    found = links(reps, sets, percent, block)
+    several = same.groupBy("id").agg(F.count("*").alias("n"), F.min("digest").alias("first")).where("n > 1").select("id", "first")
+    tied = same.join(several, "id").where(F.col("digest") != F.col("first"))  # a doc_id's different sets are one document
+    tied = tied.join(reps.select("digest", F.col("node").alias("a")), "digest").join(reps.select(F.col("digest").alias("first"), F.col("node").alias("b")), "first").select("a", "b")
+    joined = components(found.unionByName(tied))
+    named = reps.join(joined, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("of"))
+    named = named.join(named.groupBy("of").agg(F.min("id").alias("component")), "of").select("digest", "component")
+    known = held.where("id IS NOT NULL").join(named, "digest", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    every = known.unionByName(held.where("id IS NULL").select("id", "n_shingles", F.col("id").alias("component")))
+    return every.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near-copies, with its columns: the least doc_id, nulls last, of equal ones any one.
+
+    Every row counts as a document of its own, repeated and null doc_ids too. Rows without words stay. No rows: no rows.
+    """
+    held = scratch(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_row")), "copies-docs")
+    own = held.select(F.col("_row").alias("doc_id"), "doc.text")
+    found = near_duplicates(own, width, percent).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("of"))
+    place = F.struct(F.col("doc.doc_id").isNull(), "doc.doc_id", "_row").alias("place")
+    first = found.join(held.select("_row", place), "_row").groupBy("of").agg(F.min_by("_row", "place").alias("_row"))
+    return held.join(first, "_row", "left_semi").select("doc.*")
