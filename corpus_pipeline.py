@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemill.llm import mixing, near_dedup, packing, suffix_dedup, toxicity
 from tidemill.llm.common import documents, scratch_path
@@ -18,12 +17,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more.
+    """One row, the least doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more.
 
-    Rows with a null doc_id stay; rows that repeat a doc_id stay or go together.
+    Every row counts, repeated and null doc_ids too; rows without words stay.
     """
-    gone = near_dedup.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.without_near_copies(docs, width=5, percent=80)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
