@@ -18,7 +18,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, scratch, text_bytes
@@ -111,7 +111,7 @@ def signatures(column) -> np.ndarray:
 
 def buckets(reps: DataFrame) -> DataFrame:
     """node, lead, bucket: the members of each key, but for the least of them, which leads them; keys with the same
-    members are one bucket. Keys are counted before any member is shuffled, and those of one member go."""
+    members are one bucket. Only numbers travel, one a symbol, and a key's members are read in order with spills."""
 
     def expand(batches):
         for batch in batches:
@@ -121,9 +121,9 @@ def buckets(reps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(nodes[i : i + 2_000], SIGNATURE))], ["key", "node"])
 
     rows = reps.select("node", "signature").mapInArrow(expand, "key long, node long")
-    met = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lead"), F.bit_xor(F.xxhash64("node")).alias("bucket"))
-    met = scratch(met.where("n > 1").select("key", "lead", "bucket"), "keys")
-    return scratch(rows.join(met, "key").where("node <> lead").select("node", "lead", "bucket").distinct(), "buckets")
+    key = Window.partitionBy("key")
+    met = rows.select("node", F.min("node").over(key).alias("lead"), F.bit_xor(F.xxhash64("node")).over(key).alias("bucket"))
+    return scratch(met.where("node <> lead").distinct(), "buckets")
 
 
 def near_leads(found: DataFrame, reps: DataFrame, fewest: int) -> DataFrame:
@@ -167,42 +167,65 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
     return scratch(rows.select("lead", "node", "block", "set").mapInArrow(test, "a long, b long"), "links")
 
 
+def opposed(rows: DataFrame, by: list[str], block: int) -> DataFrame:
+    """Deals the rows (by, home, node) of each group to blocks that meet in pairs: by, kind, one, two, side, home, node.
+
+    The group's largest home is met by the others only (kind 0, sides 1 and 0); the others also meet each other (kind 1,
+    sides are their blocks). Groups of one home go.
+    """
+    sizes = rows.groupBy(*by, "home").agg(F.count("*").alias("n"))
+    most = sizes.groupBy(*by).agg(F.max(F.struct("n", "home")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
+    most = most.select(*by, F.col("top.home").alias("main"), F.col("top.n").alias("mains"), (F.col("all") - F.col("top.n")).alias("rest"))
+    rows = rows.join(most, by).withColumn("is_main", F.col("home") == F.col("main"))
+    rows = rows.withColumn("block", F.when(F.col("is_main"), dealt("mains", "node", block)).otherwise(dealt("rest", "node", block)))
+    across = F.sequence(F.lit(0), F.when(F.col("is_main"), last_block("rest", block)).otherwise(last_block("mains", block)))
+    own, other = F.col("block"), F.col("other")
+    one, two = F.when(F.col("is_main"), own).otherwise(other), F.when(F.col("is_main"), other).otherwise(own)
+    first = rows.withColumn("other", F.explode(across)).select(*by, F.lit(0).alias("kind"), one.alias("one"), two.alias("two"), F.col("is_main").cast("int").alias("side"), "home", "node")
+    rest = rows.where("NOT is_main").withColumn("other", F.explode(F.sequence(F.lit(0), last_block("rest", block))))
+    rest = rest.select(*by, F.lit(1).alias("kind"), F.least(own, other).alias("one"), F.greatest(own, other).alias("two"), own.alias("side"), "home", "node")
+    return first.unionByName(rest)
+
+
+def sides(rows: pa.Table) -> np.ndarray | None:
+    """Sides of the rows of one pair of blocks, if only different ones meet."""
+    return rows.column("side").to_numpy() if rows.column("kind")[0].as_py() == 0 or rows.column("one")[0] != rows.column("two")[0] else None
+
+
 def open_links(found: DataFrame, near: DataFrame, of: DataFrame, reps: DataFrame, fewest: int, block: int) -> DataFrame:
     """Pairs (a, b) of components that near pairs still connect: a lead and its member, or two members of a bucket.
 
-    Buckets whose members are all of one component are done; the others' members of different components are compared,
-    large buckets in blocks, each pair of blocks apart.
+    Buckets whose members are all of one component are done; in the others, members of different components are compared.
     """
-    home = F.coalesce("component", F.col("node"))
     member, lead = of.select("node", F.col("component").alias("one")), of.select(F.col("node").alias("lead"), F.col("component").alias("two"))
     left = near.join(member, "node", "left").join(lead, "lead", "left").select(F.coalesce("one", "node").alias("a"), F.coalesce("two", "lead").alias("b")).where("a <> b")
-    rows = found.join(of, "node", "left").withColumn("home", home).drop("component")
-    sizes = rows.groupBy("lead", "bucket").agg(F.count("*").alias("n"), (F.min("home") == F.max("home")).alias("whole")).where("n > 1 AND NOT whole")
-    rest = rows.join(sizes.select("lead", "bucket", "n"), ["lead", "bucket"]).withColumn("block", dealt("n", "node", block))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), last_block("n", block))))
-    group = ["lead", "bucket", "one", "two"]
-    rest = rest.select("lead", "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "home", "node")
-    rest = rest.join(reps.select("node", "signature"), "node").repartition(partitions(reps.sparkSession), *group).sortWithinPartitions(*group)
+    rows = found.join(of, "node", "left").select("lead", "bucket", "node", F.coalesce("component", "node").alias("home"))
+    mixed = rows.groupBy("lead", "bucket").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a <> b").select("lead", "bucket")
+    group = ["lead", "bucket", "kind", "one", "two"]
+    rest = opposed(rows.join(mixed, ["lead", "bucket"], "left_semi"), ["lead", "bucket"], block).join(reps.select("node", "signature"), "node")
+    rest = rest.repartition(partitions(reps.sparkSession), *group).sortWithinPartitions(*group)
 
     def compare(batches):
         for rows in runs(batches, group):
-            homes, blocks, signs = rows.column("home").to_numpy(), rows.column("block").to_numpy(), signatures(rows.column("signature"))
-            between, up, out = rows.column("one")[0] != rows.column("two")[0], homes.copy(), []
-            for i in range(len(homes)):
-                near_ = np.flatnonzero((up != up[i]) & (blocks != blocks[i]) if between else up != up[i])
-                for j in near_[(signs[near_] == signs[i]).sum(axis=1) >= fewest]:
+            homes, signs, side = rows.column("home").to_numpy(), signatures(rows.column("signature")), sides(rows)
+            up, out = homes.copy(), []
+            for i in range(len(homes) - 1):
+                ok = up != up[i] if side is None else (up != up[i]) & (side != side[i])
+                ok[: i + 1] = False
+                other = np.flatnonzero(ok)
+                for j in other[(signs[other] == signs[i]).sum(axis=1) >= fewest]:
                     if up[j] != up[i]:
                         out.append((homes[i], homes[j]))
                         up[up == up[j]] = up[i]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    more = rest.select(*group, "block", "home", "signature").mapInArrow(compare, "a long, b long")
+    more = rest.select(*group, "side", "home", "signature").mapInArrow(compare, "a long, b long")
     return scratch(left.unionByName(more).distinct(), "open")
 
 
-def linked(sets: list[np.ndarray], signs: np.ndarray, homes: np.ndarray, sides: np.ndarray | None, percent: int, fewest: int) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], signs: np.ndarray, homes: np.ndarray, side: np.ndarray | None, percent: int, fewest: int) -> list[tuple[int, int]]:
     """Places (i, j) of links that connect what 100 * intersection >= percent * union connects, beyond what is of one
-    home; with sides, only pairs of different sides are looked at."""
+    home; with a side each, only pairs of different sides are looked at."""
     sizes = np.array([len(s) for s in sets])
     first = np.concatenate([[0], np.cumsum(sizes)])
     _, dense = np.unique(np.concatenate(sets), return_inverse=True)
@@ -211,8 +234,8 @@ def linked(sets: list[np.ndarray], signs: np.ndarray, homes: np.ndarray, sides:
     for i in range(len(sizes)):
         ok = (up != up[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
         ok[: i + 1] = False
-        if sides is not None:
-            ok &= sides != sides[i]
+        if side is not None:
+            ok &= side != side[i]
         rest = np.flatnonzero(ok)
         rest = rest[(signs[rest] == signs[i]).sum(axis=1) >= fewest]
         if not len(rest):
@@ -235,29 +258,16 @@ def settled(clusters: DataFrame, of: DataFrame, sets, reps: DataFrame, percent:
     own = clusters.withColumnsRenamed({"node": "home", "component": "cluster"})
     rows = own.join(of.withColumnRenamed("component", "home"), "home", "left").select("cluster", "home", F.coalesce("node", "home").alias("node"))
     rows = scratch(rows, "cluster-members")
-    sizes = rows.groupBy("cluster", "home").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("cluster").agg(F.max(F.struct("n", "home")).alias("top"), F.sum("n").alias("all"))
-    most = most.select("cluster", F.col("top.home").alias("main"), F.col("top.n").alias("mains"), (F.col("all") - F.col("top.n")).alias("rest"))
-    rows = rows.join(most, "cluster").withColumn("is_main", F.col("home") == F.col("main"))
-    rows = rows.withColumn("block", F.when(F.col("is_main"), dealt("mains", "node", block)).otherwise(dealt("rest", "node", block)))
-    across = F.sequence(F.lit(0), F.when(F.col("is_main"), last_block("rest", block)).otherwise(last_block("mains", block)))
     group = ["cluster", "kind", "one", "two"]
-    side = F.col("is_main").cast("int").alias("side")
-    first = rows.withColumn("other", F.explode(across)).select("cluster", F.lit(0).alias("kind"), F.when(F.col("is_main"), F.col("block")).otherwise(F.col("other")).alias("one"), F.when(F.col("is_main"), F.col("other")).otherwise(F.col("block")).alias("two"), side, "home", "node")
-    second = rows.where("NOT is_main").withColumn("other", F.explode(F.sequence(F.lit(0), last_block("rest", block))))
-    second = second.select("cluster", F.lit(1).alias("kind"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), F.col("block").alias("side"), "home", "node")
-    held = sets(rows.select("node"))
-    every = first.unionByName(second).join(held, "node").join(reps.select("node", "signature"), "node")
+    every = opposed(rows, ["cluster"], block).join(sets(rows.select("node")), "node").join(reps.select("node", "signature"), "node")
     every = every.repartition(partitions(reps.sparkSession), *group).sortWithinPartitions(*group)
 
     def compare(batches):
         for rows in runs(batches, group):
-            kind, one, two = (rows.column(c)[0].as_py() for c in group[1:])
-            nodes, homes, sides = (rows.column(c).to_numpy() for c in ("node", "home", "side"))
-            apart = kind == 0 or one != two
+            nodes, homes, side = rows.column("node").to_numpy(), rows.column("home").to_numpy(), sides(rows)
             found = []
-            if not apart or len(np.unique(sides)) > 1:
-                found = linked([np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()], signatures(rows.column("signature")), homes, sides if apart else None, percent, fewest)
+            if side is None or len(np.unique(side)) > 1:
+                found = linked([np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()], signatures(rows.column("signature")), homes, side, percent, fewest)
             yield pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return scratch(every.select(*group, "side", "home", "node", "signature", "set").mapInArrow(compare, "a long, b long"), "links")
