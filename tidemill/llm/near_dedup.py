@@ -167,42 +167,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
     return scratch(rows.select("lead", "node", "block", "set").mapInArrow(test, "a long, b long"), "links")
 
 
-def opposed(rows: DataFrame, by: list[str], block: int) -> DataFrame:
-    """Deals the rows (by, home, node) of each group to blocks that meet in pairs: by, kind, one, two, side, home, node.
-
-    The group's largest home is met by the others only (kind 0, sides 1 and 0); the others also meet each other (kind 1,
-    sides are their blocks). Groups of one home go.
-    """
+def facing(mains: DataFrame, others: DataFrame, by: list[str], block: int) -> DataFrame:
+    """Deals two sets of rows (by, home, node) to blocks, every block of one meeting every block of the other: by, kind 0,
+    one, two, side (1 and 0), home, node."""
+    sizes = mains.groupBy(*by).agg(F.count("*").alias("mains")).join(others.groupBy(*by).agg(F.count("*").alias("rest")), by)
+    names = [*by, F.lit(0).alias("kind")]
+    a = mains.join(sizes, by).withColumn("other", F.explode(F.sequence(F.lit(0), last_block("rest", block))))
+    b = others.join(sizes, by).withColumn("other", F.explode(F.sequence(F.lit(0), last_block("mains", block))))
+    a = a.select(*names, dealt("mains", "node", block).alias("one"), F.col("other").alias("two"), F.lit(1).alias("side"), "home", "node")
+    return a.unionByName(b.select(*names, F.col("other").alias("one"), dealt("rest", "node", block).alias("two"), F.lit(0).alias("side"), "home", "node"))
+
+
+def among(rows: DataFrame, by: list[str], block: int) -> DataFrame:
+    """As facing(), for the blocks of one set of rows: kind 1, sides are the blocks. Groups of one home go."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("home").alias("a"), F.max("home").alias("b")).where("a <> b").select(*by, "n")
+    rows = rows.join(sizes, by).withColumn("side", dealt("n", "node", block)).withColumn("other", F.explode(F.sequence(F.lit(0), last_block("n", block))))
+    return rows.select(*by, F.lit(1).alias("kind"), F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "home", "node")
+
+
+def parted(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (by, home, node) of each group's largest home, and the others with that home as `main`; groups of one home go."""
     sizes = rows.groupBy(*by, "home").agg(F.count("*").alias("n"))
     most = sizes.groupBy(*by).agg(F.max(F.struct("n", "home")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
-    most = most.select(*by, F.col("top.home").alias("main"), F.col("top.n").alias("mains"), (F.col("all") - F.col("top.n")).alias("rest"))
-    rows = rows.join(most, by).withColumn("is_main", F.col("home") == F.col("main"))
-    rows = rows.withColumn("block", F.when(F.col("is_main"), dealt("mains", "node", block)).otherwise(dealt("rest", "node", block)))
-    across = F.sequence(F.lit(0), F.when(F.col("is_main"), last_block("rest", block)).otherwise(last_block("mains", block)))
-    own, other = F.col("block"), F.col("other")
-    one, two = F.when(F.col("is_main"), own).otherwise(other), F.when(F.col("is_main"), other).otherwise(own)
-    first = rows.withColumn("other", F.explode(across)).select(*by, F.lit(0).alias("kind"), one.alias("one"), two.alias("two"), F.col("is_main").cast("int").alias("side"), "home", "node")
-    rest = rows.where("NOT is_main").withColumn("other", F.explode(F.sequence(F.lit(0), last_block("rest", block))))
-    rest = rest.select(*by, F.lit(1).alias("kind"), F.least(own, other).alias("one"), F.greatest(own, other).alias("two"), own.alias("side"), "home", "node")
-    return first.unionByName(rest)
+    both = rows.join(most.select(*by, F.col("top.home").alias("main")), by)
+    return both.where("home = main"), both.where("home <> main")
 
 
 def sides(rows: pa.Table) -> np.ndarray | None:
     """Sides of the rows of one pair of blocks, if only different ones meet."""
-    return rows.column("side").to_numpy() if rows.column("kind")[0].as_py() == 0 or rows.column("one")[0] != rows.column("two")[0] else None
+    return rows.column("side").to_numpy() if rows.column("kind")[0].as_py() != 1 or rows.column("one")[0] != rows.column("two")[0] else None
 
 
-def open_links(found: DataFrame, near: DataFrame, of: DataFrame, reps: DataFrame, fewest: int, block: int) -> DataFrame:
-    """Pairs (a, b) of components that near pairs still connect: a lead and its member, or two members of a bucket.
+def open_pairs(found: DataFrame, near: DataFrame, of: DataFrame, reps: DataFrame, fewest: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """What is still to be compared, where homes are components and single nodes:
 
-    Buckets whose members are all of one component are done; in the others, members of different components are compared.
+    node, home, target: nodes against all of another home: near members of a lead of another home, and the members of a
+    bucket against the home that most of them have;
+    a, b: pairs of homes that near members of a bucket connect, beyond that home.
     """
-    member, lead = of.select("node", F.col("component").alias("one")), of.select(F.col("node").alias("lead"), F.col("component").alias("two"))
-    left = near.join(member, "node", "left").join(lead, "lead", "left").select(F.coalesce("one", "node").alias("a"), F.coalesce("two", "lead").alias("b")).where("a <> b")
-    rows = found.join(of, "node", "left").select("lead", "bucket", "node", F.coalesce("component", "node").alias("home"))
+
+    def home(df: DataFrame, node: str, name: str) -> DataFrame:
+        return df.join(of.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+    stars = home(home(near.select("node", "lead"), "node", "home"), "lead", "target").select("node", "home", "target")
+    rows = home(found, "node", "home")
     mixed = rows.groupBy("lead", "bucket").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a <> b").select("lead", "bucket")
+    rows = scratch(rows.join(mixed, ["lead", "bucket"], "left_semi"), "mixed")
+    others = parted(rows, ["lead", "bucket"])[1]
+    ahead = stars.unionByName(others.select("node", "home", F.col("main").alias("target"))).where("home <> target").distinct()
     group = ["lead", "bucket", "kind", "one", "two"]
-    rest = opposed(rows.join(mixed, ["lead", "bucket"], "left_semi"), ["lead", "bucket"], block).join(reps.select("node", "signature"), "node")
+    rest = among(others.drop("main"), ["lead", "bucket"], block).join(reps.select("node", "signature"), "node")
     rest = rest.repartition(partitions(reps.sparkSession), *group).sortWithinPartitions(*group)
 
     def compare(batches):
@@ -220,7 +234,7 @@ def open_links(found: DataFrame, near: DataFrame, of: DataFrame, reps: DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     more = rest.select(*group, "side", "home", "signature").mapInArrow(compare, "a long, b long")
-    return scratch(left.unionByName(more).distinct(), "open")
+    return scratch(ahead, "ahead"), scratch(more.distinct(), "open")
 
 
 def linked(sets: list[np.ndarray], signs: np.ndarray, homes: np.ndarray, side: np.ndarray | None, percent: int, fewest: int) -> list[tuple[int, int]]:
@@ -250,16 +264,21 @@ def linked(sets: list[np.ndarray], signs: np.ndarray, homes: np.ndarray, side: n
     return links
 
 
-def settled(clusters: DataFrame, of: DataFrame, sets, reps: DataFrame, percent: int, fewest: int, block: int) -> DataFrame:
-    """Links between the components (node) of a cluster (component), by comparing their members' whole sets.
+def settled(ahead: DataFrame, pairs: DataFrame, of: DataFrame, sets, reps: DataFrame, percent: int, fewest: int, block: int) -> DataFrame:
+    """Links that whole sets confirm: of nodes against a home, and between the homes that pairs connect. A cluster's
+    largest home is compared with the others only, block by block."""
 
-    The largest component of a cluster is compared with the others only, block by block; the others also with each other.
-    """
-    own = clusters.withColumnsRenamed({"node": "home", "component": "cluster"})
-    rows = own.join(of.withColumnRenamed("component", "home"), "home", "left").select("cluster", "home", F.coalesce("node", "home").alias("node"))
-    rows = scratch(rows, "cluster-members")
+    def members(homes: DataFrame) -> DataFrame:
+        return homes.join(of.withColumnRenamed("component", "home"), "home", "left").select("cluster", "home", F.coalesce("node", "home").alias("node"))
+
+    targets = members(ahead.select(F.col("target").alias("cluster"), F.col("target").alias("home")).distinct())
+    first = facing(targets, ahead.select(F.col("target").alias("cluster"), "home", "node"), ["cluster"], block)
+    rows = scratch(members(components(pairs).withColumnsRenamed({"node": "home", "component": "cluster"})), "cluster-members")
+    mains, others = parted(rows, ["cluster"])
+    second = facing(mains.drop("main"), others.drop("main"), ["cluster"], block).withColumn("kind", F.lit(2))
+    dealt_ = scratch(first.unionByName(second).unionByName(among(others.drop("main"), ["cluster"], block)), "dealt")
     group = ["cluster", "kind", "one", "two"]
-    every = opposed(rows, ["cluster"], block).join(sets(rows.select("node")), "node").join(reps.select("node", "signature"), "node")
+    every = dealt_.join(sets(dealt_.select("node")), "node").join(reps.select("node", "signature"), "node")
     every = every.repartition(partitions(reps.sparkSession), *group).sortWithinPartitions(*group)
 
     def compare(batches):
@@ -285,10 +304,10 @@ def links(reps: DataFrame, sets, percent: int, block: int = 128) -> DataFrame:
     best = near.groupBy("node").agg(F.max_by("lead", F.struct("equal", -F.col("lead"))).alias("lead"))
     some = confirmed(best, sets(best.select("node").union(best.select("lead"))), percent, block)
     of = components(some)
-    left = open_links(found, near, of, reps, fewest, block)
-    if left.isEmpty():
+    ahead, pairs = open_pairs(found, near, of, reps, fewest, block)
+    if ahead.isEmpty() and pairs.isEmpty():
         return some
-    return some.unionByName(settled(components(left), of, sets, reps, percent, fewest, block))
+    return some.unionByName(settled(ahead, pairs, of, sets, reps, percent, fewest, block))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, block: int = 128) -> DataFrame:
