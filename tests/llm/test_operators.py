@@ -282,8 +282,9 @@ def test_op4_foreign_leads_cut_no_link(spark):
     found = near_dedup.buckets(reps)
     near = near_dedup.near_leads(found, reps, fewest)
     for block in (128, 1):
-        ahead, pairs = near_dedup.open_pairs(found, near, apart, reps, fewest, block)
-        got = {r["node"]: r["component"] for r in components.components(pairs.unionByName(ahead.selectExpr("node a", "target b"))).collect()}
+        ahead, pairs = near_dedup.open_pairs(found, apart, reps, fewest, block)
+        looked_at = pairs.unionByName(ahead.selectExpr("node a", "target b")).unionByName(near.selectExpr("node a", "lead b"))
+        got = {r["node"]: r["component"] for r in components.components(looked_at).collect()}
         assert all(got[i] == got[find(i)] for i in signs if find(i) != i)
         assert all(got.get(1000 + g) == got.get(2000 + g) is not None for g in range(40))
         by_sign = {r["node"]: r["component"] for r in components.components(pairs).collect()}  # nodes ahead are only looked at

@@ -127,7 +127,7 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 
 def near_leads(found: DataFrame, reps: DataFrame, fewest: int) -> DataFrame:
-    """node, lead, equal: members that agree with the lead of a bucket in `fewest` symbols or more."""
+    """node, lead: members that agree with the lead of a bucket in `fewest` symbols or more."""
 
     @F.pandas_udf("int")
     def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -138,7 +138,7 @@ def near_leads(found: DataFrame, reps: DataFrame, fewest: int) -> DataFrame:
 
     signs = reps.select(F.col("node").alias("lead"), F.col("signature").alias("other"))
     pairs = found.select("node", "lead").distinct().join(reps.select("node", "signature"), "node").join(signs, "lead")
-    return scratch(pairs.select("node", "lead", agreement("signature", "other").alias("equal")).where(F.col("equal") >= fewest), "near")
+    return scratch(pairs.where(agreement("signature", "other") >= fewest).select("node", "lead"), "near")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
@@ -198,25 +198,19 @@ def sides(rows: pa.Table) -> np.ndarray | None:
     return rows.column("side").to_numpy() if rows.column("kind")[0].as_py() != 1 or rows.column("one")[0] != rows.column("two")[0] else None
 
 
-def open_pairs(found: DataFrame, near: DataFrame, of: DataFrame, reps: DataFrame, fewest: int, block: int) -> tuple[DataFrame, DataFrame]:
+def open_pairs(found: DataFrame, of: DataFrame, reps: DataFrame, fewest: int, block: int) -> tuple[DataFrame, DataFrame]:
     """What is still to be compared, where homes are components and single nodes:
 
-    node, home, target: nodes against all of another home: near members of a lead of another home, and the members of a
-    bucket against the home that most of them have;
+    node, home, target: nodes against all of another home, which most members of a bucket of theirs have;
     a, b: pairs of homes that near members of a bucket connect, beyond that home.
     """
-
-    def home(df: DataFrame, node: str, name: str) -> DataFrame:
-        return df.join(of.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-
-    stars = home(home(near.select("node", "lead"), "node", "home"), "lead", "target").select("node", "home", "target")
-    rows = home(found, "node", "home")
+    rows = found.join(of, "node", "left").select("lead", "bucket", "node", F.coalesce("component", "node").alias("home"))
     mixed = rows.groupBy("lead", "bucket").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a <> b").select("lead", "bucket")
     rows = scratch(rows.join(mixed, ["lead", "bucket"], "left_semi"), "mixed")
     others = parted(rows, ["lead", "bucket"])[1]
-    ahead = stars.unionByName(others.select("node", "home", F.col("main").alias("target"))).where("home <> target").distinct()
+    ahead = others.select("node", "home", F.col("main").alias("target")).distinct()
     group = ["lead", "bucket", "kind", "one", "two"]
-    rest = among(others.drop("main"), ["lead", "bucket"], block).join(reps.select("node", "signature"), "node")
+    rest = among(others.drop("main"), ["lead", "bucket"], 16 * block).join(reps.select("node", "signature"), "node")
     rest = rest.repartition(partitions(reps.sparkSession), *group).sortWithinPartitions(*group)
 
     def compare(batches):
@@ -295,16 +289,15 @@ def settled(ahead: DataFrame, pairs: DataFrame, of: DataFrame, sets, reps: DataF
 def links(reps: DataFrame, sets, percent: int, block: int = 128) -> DataFrame:
     """Links (a, b) whose components are those of 100 * intersection >= percent * union over pairs that meet in a key.
 
-    reps: node, signature. sets(nodes): node, set (sorted hashes). Each member is tested against its best lead; what near
-    pairs connect beyond that is compared in full, but for pairs that are of one component already.
+    reps: node, signature. sets(nodes): node, set (sorted hashes). Each member is tested against each lead that it is near
+    to; buckets that this leaves in several components are compared in full, but for pairs of one component.
     """
     fewest = fewest_equal(percent)
     found = buckets(reps)
     near = near_leads(found, reps, fewest)
-    best = near.groupBy("node").agg(F.max_by("lead", F.struct("equal", -F.col("lead"))).alias("lead"))
-    some = confirmed(best, sets(best.select("node").union(best.select("lead"))), percent, block)
+    some = confirmed(near, sets(near.select("node").union(near.select("lead"))), percent, block)
     of = components(some)
-    ahead, pairs = open_pairs(found, near, of, reps, fewest, block)
+    ahead, pairs = open_pairs(found, of, reps, fewest, block)
     if ahead.isEmpty() and pairs.isEmpty():
         return some
     return some.unionByName(settled(ahead, pairs, of, sets, reps, percent, fewest, block))
