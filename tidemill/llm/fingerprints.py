@@ -14,7 +14,7 @@ from .common import partitions
 
 P = np.uint64((1 << 31) - 1)
 BASES = (1_000_003, 1_610_612_741)
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_start long, same_start_next long"
 
 
 def mod(x: np.ndarray) -> np.ndarray:
@@ -63,7 +63,10 @@ class Prefix:
         return (h[0] << np.uint64(31)) | h[1]
 
     def span(self, at: int, width: int) -> int:
-        return int(self.spans(width, np.array([at]))[0])
+        """Hash of one span, as spans() gives it."""
+        p, sums, down = int(P), self.sums, self.down
+        one, two = ((sums.item(k, at + width) - sums.item(k, at)) * down.item(k, at) % p for k in (0, 1))
+        return one << 31 | two
 
     def whole(self) -> int:
         return self.span(0, self.n)
@@ -95,7 +98,7 @@ class Fingerprint:
     """
 
     def __init__(self, codes: np.ndarray, width: int = 16, keep: int = 64) -> None:
-        prefix = Prefix(codes)
+        self.prefix = prefix = Prefix(codes)
         self.n, self.hash, self.keep = prefix.n, prefix.whole() if prefix.n else 0, keep
         h = mix(prefix.spans(min(width, self.n))) >> np.uint64(24) if self.n else np.zeros(0, np.uint64)
         few = h
@@ -108,6 +111,11 @@ class Fingerprint:
         return f"{self.n:x}.{self.hash:x}." + "".join(f"{x:010x}" for x in self.low.tolist())
 
 
+def same_start(x: Fingerprint, y: Fingerprint) -> int:
+    """Characters that two texts share from their start; all of them if the whole spans are equal."""
+    return x.n if x.n == y.n and x.hash == y.hash else extension(x.prefix, 0, y.prefix, 0)
+
+
 def likeness(x: Fingerprint, y: Fingerprint) -> float:
     """Jaccard similarity of the span sets: the share of both among the smallest of their union (1 if both are empty)."""
     if not x.n and not y.n:
@@ -127,7 +135,9 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame, width: int = 16, keep: int = 64) -> DataFrame:
-    """Fingerprint of each text and of its edited text, whose last third is the start of the next document.
+    """Fingerprint of each text and of its edited text, whose last third is the start of the next document; how like they
+    are, and how many characters they share from the start (the longest common extension, by binary search over the
+    prefix arrays).
 
     Next: the next lower doc_id, after the lowest the highest; equal doc_ids go by a hash of the text. Null text: empty.
     Null doc_id: below all others. One document alone is its own next. No rows: no rows.
@@ -170,10 +180,10 @@ def fingerprints(docs: DataFrame, width: int = 16, keep: int = 64) -> DataFrame:
                     was, words, _, mine = held
                     change = edited(words, text)
                     made = Fingerprint(codes(change), width, keep)
-                    out.append((was, len(words), hashlib.sha256(change.encode()).hexdigest(), str(mine), str(made), likeness(mine, made), likeness(mine, own)))
+                    out.append((was, len(words), hashlib.sha256(change.encode()).hexdigest(), str(mine), str(made), likeness(mine, made), likeness(mine, own), same_start(mine, made), same_start(mine, own)))
                 held = None if ahead else (doc, text, of, own)
             if out:
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names)
 
     return dealt.mapInArrow(walk, OUT)
