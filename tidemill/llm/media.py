@@ -23,7 +23,7 @@ WIDTH = 192
 #: Fixed values of the PNG format: signature, and the header's length up to the end of IHDR.
 SIGNATURE, HEAD = b"\x89PNG\r\n\x1a\n", 33
 STORED = "doc_id long, n_bytes long, media_sha256 string, shard string, offset long, length long"
-READ = STORED + ", width long, height long, bit_depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+READ = "width long, height long, bit_depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
 
 
 def padded(raw: bytes) -> bytes:
@@ -116,8 +116,9 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20, level: int
 
 
 def describe(index: DataFrame, folder: str, whole: bool = True) -> DataFrame:
-    """Metadata columns by a range read of each header; with `whole`, also what the samples themselves give."""
-    names = [f.split()[0] for f in READ.split(", ")]
+    """Adds metadata columns to rows with shard, offset and length, by a range read of each header; with `whole`, also what
+    the samples themselves give."""
+    added = [f.split()[0] for f in READ.split(", ")]
 
     def read(batches):
         fs, _ = filesystem(folder)
@@ -125,7 +126,7 @@ def describe(index: DataFrame, folder: str, whole: bool = True) -> DataFrame:
         last: OrderedDict = OrderedDict()  # copies lie side by side; few payloads need keeping
         for batch in batches:
             rows = []
-            for shard, at, n in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))):
+            for shard, at, n in zip(*(batch.column(k).to_pylist() for k in ("shard", "offset", "length"))):
                 if shard != open_:
                     if file:
                         file.close()
@@ -145,15 +146,32 @@ def describe(index: DataFrame, folder: str, whole: bool = True) -> DataFrame:
                 rows.append(last[at])
             if rows:
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip(zip(*rows), types))], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip(zip(*rows), types))], [*batch.schema.names, *added])
 
     near = index.repartition(partitions(index.sparkSession), "shard", F.floor(F.col("offset") / (1 << 22))).sortWithinPartitions("shard", "offset")
-    return near.mapInArrow(read, READ)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema)
+    return near.mapInArrow(read, f"{fields}, {READ}")
+
+
+def addresses(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One address a payload (media_sha256, shard, offset, length): the first of those that tasks have stored; and every
+    (media_sha256, held_in) that index rows name, of which a task's rows make one, however many copies it had."""
+    held = index.select("media_sha256", "shard", "offset", "length").distinct()
+    first = held.groupBy("media_sha256").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("media_sha256", "at.*")
+    return first, held.select("media_sha256", F.col("shard").alias("held_in"))
 
 
 def columns(docs: DataFrame) -> DataFrame:
-    """Null or empty text: one line of spaces. Equal texts: equal values. Null and repeated doc_ids: a row each."""
+    """Null or empty text: one line of spaces. Equal texts: equal values. Null and repeated doc_ids: a row each.
+
+    Rows refer to one address for each payload, which is read once; copies in other tasks' shards are referred to by none.
+    A payload's columns reach its rows by shard, so that a text with many copies is spread as its rows were.
+    """
     folder = scratch_path(docs.sparkSession, "media")
-    return describe(store(docs, folder), folder).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height", "bit_depth"
+    index = store(docs, folder)
+    first, held = addresses(index)
+    known = scratch(describe(first, folder), "media-columns").join(held, "media_sha256")
+    rows = index.select("doc_id", "n_bytes", "media_sha256", F.col("shard").alias("held_in"))
+    return rows.join(known, ["media_sha256", "held_in"]).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height", "bit_depth", "offset"
     )
