@@ -81,23 +81,36 @@ def pieces(docs: DataFrame, tokens: int = 2048, tokenizer: str | None = None, se
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).mapInArrow(cut, PIECES)
 
 
-def pack(sized: DataFrame, tokens: int = 2048, documents: int = 2048, attention: float | None = None, group_tokens: int = 4_000_000, group_rows: int = 16_000, **options) -> DataFrame:
+def pack(sized: DataFrame, tokens: int = 2048, documents: int = 2048, attention: float | None = None, group_tokens: int = 4_000_000, group_rows: int = 16_000, full: float = 0.98, **options) -> DataFrame:
     """Adds sequence_id and offset to a table with a column `length` (1 to `tokens`).
 
     Pieces are dealt by a hash of their place in the table to groups of about group_tokens or group_rows, which bounds a
-    task's memory and bins at every size; a group wastes at most part of its last bins, under 0.1 % of it.
+    task's memory and bins at every size. The pieces of bins that a group leaves open, by tokens under the share `full`,
+    are packed again, with those of other groups.
     """
     held = scratch(sized.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    total = held.agg(F.sum("length").alias("tokens"), F.count("*").alias("rows")).first()
-    groups = 1 + max((total["tokens"] or 0) // group_tokens, total["rows"] // group_rows)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema) + ", sequence_id long, offset long"
-
-    def place(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_row", ignore_index=True)
-        bins, offsets = fit(rows["length"].to_numpy(), tokens, documents, attention, **options)
-        return rows.drop(columns=["_row", "_group"]).assign(sequence_id=(int(key[0]) << 32) + bins, offset=offsets)
-
-    return held.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))).groupBy("_group").applyInPandas(place, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema)
+
+    def groups(df: DataFrame) -> int:
+        total = df.agg(F.sum("length").alias("tokens"), F.count("*").alias("rows")).first()
+        return 1 + max((total["tokens"] or 0) // group_tokens, total["rows"] // group_rows)
+
+    def placed(df: DataFrame, n: int, turn: int) -> DataFrame:
+        def place(key, rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("_row", ignore_index=True)
+            bins, offsets = fit(rows["length"].to_numpy(), tokens, documents, attention, **options)
+            fill = np.bincount(bins, rows["length"].to_numpy())[bins]
+            return rows.drop(columns=["_group"]).assign(sequence_id=(turn << 60) + (int(key[0]) << 24) + bins, offset=offsets, _open=fill < full * tokens)
+
+        return df.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(n))).groupBy("_group").applyInPandas(place, f"{schema}, _row long, sequence_id long, offset long, _open boolean")
+
+    n = groups(held)
+    first = placed(held, n, 0)
+    if n > 1:
+        first = scratch(first, "packed")
+        rest = first.where("_open").select(*held.columns)
+        first = first.where("NOT _open").unionByName(placed(rest, groups(rest), 1))
+    return first.drop("_row", "_open")
 
 
 def packed(docs: DataFrame, tokens: int = 2048, tokenizer: str | None = None, separator: int = 0, **options) -> DataFrame:
