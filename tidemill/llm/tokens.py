@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -23,7 +24,8 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     The byte-level pattern never joins what stands on both sides of a space before a non-space character, so a text's
-    ids are those of its pieces cut there, one after the other. Pieces repeat; the library encodes each piece once and
+    ids are those of its pieces cut there, one after the other; texts are encoded whole for tokenizers with any other
+    pattern, with a normalizer, or with added tokens that aren't special. Pieces repeat; the library encodes each piece once and
     the ids stay in a table of at most `limit` pieces of at most `longest` characters. New pieces of a batch are encoded
     as one text and cut again at the tokens that begin with a space.
     """
@@ -31,6 +33,11 @@ class Encoder:
     def __init__(self, path: str, limit: int = 800_000, longest: int = 40) -> None:
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
+        self.cuts = plain and not spec.get("normalizer") and all(t.get("special") for t in spec.get("added_tokens") or [])
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
         space = self.lib.encode(" a", add_special_tokens=False).tokens[0][0]
@@ -85,6 +92,8 @@ class Encoder:
 
         if not texts:
             return []
+        if not self.cuts:
+            return [self.whole(t) for t in texts]
         cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         coded = cut.values.dictionary_encode()
         ids = self.look(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
