@@ -44,39 +44,62 @@ def swapped(text: str, turn: int) -> str | None:
     return out if n else None
 
 
-def features(raw: bytes) -> np.ndarray:
-    """Distinct hashed features of a text: its words (runs of letters), their starts, and word pairs."""
-    x = np.frombuffer(raw.lower(), np.uint8)
+def features(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of texts, and each one's text: its words (runs of letters), their starts, and word pairs."""
+    x = np.frombuffer((b"\n".join(raws) + b"\n").lower(), np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[False], LETTER[x], [False]])))
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.int32)
+    of = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), start, side="right").astype(np.int32)
     up, down = STEPS.get(len(x) + 1)
     total = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(TABLE[x] * up[: len(x)], out=total[1:])
     word = mix((total[end] - total[start]) * down[start])
-    found = [word, mix(word[:-1] * ODD[3] + word[1:] * ODD[4])]
+    same = of[1:] == of[:-1]
+    found, texts = [word, mix(word[:-1][same] * ODD[3] + word[1:][same] * ODD[4])], [of, of[1:][same]]
     for n in STARTS:
-        s = start[end - start > n]
+        long = end - start > n
+        s = start[long]
         found.append(mix((total[s + n] - total[s]) * down[s] + np.uint64(n)))
-    return np.unique((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32))
+        texts.append(of[long])
+    return (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int32), np.concatenate(texts)
+
+
+def distinct(raws: list[bytes]) -> list[np.ndarray]:
+    """The distinct features of each text, sorted."""
+    if not raws:
+        return []
+    f, of = features(raws)
+    both = np.unique(of.astype(np.int64) << BITS | f)
+    return np.split((both & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(both >> BITS, np.arange(1, len(raws))))
 
 
 @dataclass
 class Model:
-    """Sorted features and their weights: at most as many as `fit` was told, so its size is bounded."""
+    """Sorted features and their weights: no more than the bounded sample of `fit` has, so its size is bounded."""
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
 
+    def scores(self, raws: list[bytes], size: int = 1 << 19) -> np.ndarray:
+        """Scores of texts, about `size` bytes of them at a time."""
+        table = np.full(1 << BITS, -1, np.int32)
+        table[self.features] = np.arange(len(self.features))
+        z, group, n = np.full(len(raws), float(self.bias)), [], 0
+        for i, raw in enumerate(raws):
+            group.append(raw)
+            n += len(raw)
+            if n >= size or i + 1 == len(raws):
+                f, of = features(group)
+                at = table[f]
+                hit = np.flatnonzero(at >= 0)
+                both = np.unique(of[hit].astype(np.int64) << BITS | at[hit])  # a feature counts once a text
+                z[i + 1 - len(group) : i + 1] += np.bincount(both >> BITS, self.weights[both & ((1 << BITS) - 1)], len(group))
+                group, n = [], 0
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
     def score(self, raw: bytes) -> float:
-        if not len(self.features):
-            return float(1 / (1 + np.exp(-self.bias)))
-        f = features(raw)
-        at = np.minimum(np.searchsorted(self.features, f), len(self.features) - 1)
-        z = self.bias + self.weights[at[self.features[at] == f]].sum()
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return float(self.scores([raw])[0])
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -106,10 +129,10 @@ def descend(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, pair
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = 6_000, most_features: int = 4_096, least_gain: float = 16.0, decay: float = 3e-5, fair: float = 1.0, swaps: int = 2, steps: int = 500, folds: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, each: int = 6_000, least_gain: float = 16.0, decay: float = 3e-5, fair: float = 1.0, swaps: int = 2, steps: int = 500, folds: int = 5) -> Model:
     """Learns from labelled rows outside the held-out fold: at most `each` of either label, those first by a hash of
-    doc_id (a documented bound on a sample; every text of it is whole). Features are chosen by their log-likelihood
-    gain over the sample, so texts reach the driver as a few feature numbers. The bias is set back to the labels' rates.
+    doc_id (a documented bound on a sample; every text of it is whole). Features are those of enough log-likelihood gain
+    over the sample, so texts reach the driver as a few feature numbers. The bias is set back to the labels' rates.
 
     A doc_id labelled more than once is toxic if any row says so. Null labels are left out. With no labels of either
     kind the score is the rate of toxic labels (0.5 / (rows + 1) at least).
@@ -131,11 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 6_000, most_features: in
 
     def of(batches):
         for batch in batches:
-            own, other = [], []
-            for raw in batch.column(2).to_pylist():
-                own.append(features(raw))
-                changed = [swapped(raw.decode("utf-8", "replace"), k) for k in range(swaps)]
-                other.append([features(t.encode()) for t in changed if t is not None])
+            raws = batch.column(2).to_pylist()
+            own = distinct(raws)
+            changed = [[t.encode() for k in range(swaps) if (t := swapped(raw.decode("utf-8", "replace"), k)) is not None] for raw in raws]
+            flat, at = distinct([t for ts in changed for t in ts]), np.cumsum([0, *map(len, changed)])
+            other = [flat[i:j] for i, j in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "own", "other"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).join(F.broadcast(sample), "doc_id")  # at most 2 * each ids
@@ -152,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 6_000, most_features: in
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     share = (a + b) / (n1 + n0)
     gain = 2 * (part(a, n1, share) + part(b, n0, share) + part(n1 - a, n1, 1 - share) + part(n0 - b, n0, 1 - share))
-    chosen = counts.where((a + b >= 4) & (a + b < n1 + n0)).withColumn("gain", gain).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "f").limit(most_features)
+    chosen = counts.where((a + b >= 4) & (a + b < n1 + n0)).withColumn("gain", gain).where(F.col("gain") >= least_gain)
     picked = np.sort(np.array([r["f"] for r in chosen.select("f").collect()], np.int32))
     if not len(picked):
         return Model(picked, np.zeros(0), float(np.log(prior / (1 - prior))))
@@ -176,11 +199,11 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 6_000, most_features: in
 
 
 def score(model: Model, raw: Column) -> Column:
-    sent = model  # at most most_features weights, sent with the function
+    sent = model  # weights of the sample's features, sent with the function
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([sent.score(t) for t in texts], dtype=float)
+        return pd.Series(sent.scores(texts.tolist()), dtype=float)
 
     return of(raw)
 
@@ -194,6 +217,6 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, **options) -> Dat
 
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all their columns."""
+    """The documents that the classifier doesn't reject, with all their columns; null and empty texts stay."""
     model = fit(docs, labels, **options)
-    return docs.where(score(model, text_bytes()) < 0.5)
+    return docs.where((F.octet_length(text_bytes()) == 0) | (score(model, text_bytes()) < 0.5))
