@@ -2,8 +2,8 @@
 
 Suffix order by column-wise multi-document construction: every string of a collection gets one more symbol on its left
 each round; a stable sort of the round's symbols (the transform's symbols, read in the order of the last round) gives the
-order of the longer suffixes, and range minima carry the common prefixes along. Collections, records and masks are
-sequential files and blobs that each step reads from front to back.
+order of the longer suffixes, and range minima carry the common prefixes along. Collections, transforms, records and
+masks are sequential files and blobs that each step writes or reads from front to back.
 
 Whole documents would take as many rounds as the longest has bytes, each over the whole collection. So the strings are
 pieces: each window of `length` bytes belongs to the anchor (least hashed `MARK`-gram) in it, equal windows have equal
@@ -13,8 +13,10 @@ their anchors, dealt to buckets by the anchor's hash, and built in 2 * length -
 1. collect: a task writes its documents to a collection file and deals its anchors' hashes to buckets.
 2. shared:  a bucket finds the anchors that two documents have (others can't repeat) and tells the tasks.
 3. records: a task deals the pieces of shared anchors; equal pieces of a task travel once, for its least doc_id.
-4. build:   a bucket inserts columns from the right; equal windows are runs whose common prefix is long enough, and a
-            window is repeated if its run has a smaller doc_id. A bit for each place of the window goes back.
+4. build:   a bucket inserts columns from the right, one symbol of each string a round. The transform's symbols and the
+            common prefixes of the round follow those of the round before in the bucket's transform file, from which the
+            strings can be restored. Equal windows are runs whose common prefix is long enough, and a window is repeated
+            if its run has a smaller doc_id. A bit for each place of the window goes back.
 5. remove:  a task marks the bytes and reads what is left from its collection file.
 """
 
@@ -153,7 +155,42 @@ def short(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(23) << np.uint64(1)
 
 
-def build(columns: np.ndarray, keys: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+class Transform:
+    """A sequential file of the rounds: for each, its symbols in the order of the round before, and how many leading
+    columns each string of the new order differs after from the string before it."""
+
+    def __init__(self, sink) -> None:
+        self.sink = sink
+
+    def add(self, symbols: np.ndarray, same: np.ndarray) -> None:
+        for a in (symbols, same):
+            raw = squeeze(a.tobytes(), 1)
+            self.sink.write(struct.pack("<q", len(raw)) + raw)
+
+
+def rounds(source):
+    """Symbols and common prefixes of each round of a transform file."""
+    parts = []
+    while head := source.read(8):
+        parts.append(np.frombuffer(expand(source.read(struct.unpack("<q", head)[0])), np.uint8))
+        if len(parts) == 2:
+            yield tuple(parts)
+            parts = []
+
+
+def restore(source) -> np.ndarray:
+    """The strings (columns x strings) of a transform file."""
+    order, columns = None, []
+    for symbols, _ in rounds(source):
+        order = np.arange(len(symbols)) if order is None else order
+        column = np.empty(len(symbols), np.uint8)
+        column[order] = symbols
+        columns.append(column)
+        order = order[np.argsort(symbols, kind="stable")]
+    return np.stack(columns[::-1])
+
+
+def build(columns: np.ndarray, keys: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, transform: Transform | None = None) -> np.ndarray:
     """Column-wise construction over aligned strings (columns x strings). Bit o of a string's mask: its window that
     begins o columns before the anchor's also begins a string with a smaller key. first, last: its windows' range of o."""
     wide, n = columns.shape
@@ -173,6 +210,8 @@ def build(columns: np.ndarray, keys: np.ndarray, first: np.ndarray, last: np.nda
             grown[1:n][equal] = least[:-1][equal]
         order, same = order[move], grown
         same[0] = 0
+        if transform:
+            transform.add(symbols, same[:n])
         if c <= pad:
             o = pad - c
             own = (first[order] <= o) & (o <= last[order])
@@ -203,17 +242,20 @@ def blob(task: int, bucket: int, raw: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([bucket], pa.int32()), pa.array([raw], pa.binary())], ["task", "bucket", "raw"])
 
 
-def repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, row: str | None = None) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, row: str | None = None, bucket_bytes: int = 256 << 20) -> DataFrame:
     """row (null unless a column is named), doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null unless asked
     for), span_starts, span_ends.
 
     Null text: empty, nothing to remove. Null doc_id: larger than every other one. Equal doc_ids: none is smaller, so
     repeated rows keep what no smaller doc_id has. Texts shorter than `length`: kept. No rows: no rows.
+
+    A bucket gets the pieces of about bucket_bytes of text or less, so that buckets grow in number and not in size.
     """
     if not MARK < length <= MARK + 32:
         raise ValueError(f"strings of {MARK + 1} to {MARK + 32} bytes are supported")
     spark = docs.sparkSession
-    folder, buckets, pad = scratch_path(spark, "collections"), partitions(spark), length - MARK
+    size = docs.agg(F.sum(F.octet_length(text_bytes()))).first()[0] or 0
+    folder, buckets, pad = scratch_path(spark, "collections"), max(partitions(spark), size // bucket_bytes), length - MARK
     ident = F.col(row).cast("long") if row else F.lit(None).cast("long")
     rows = docs.select(ident.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw"))
 
@@ -291,10 +333,15 @@ def repeats(docs: DataFrame, length: int = 50, keep_text: bool = False, row: str
             flat, to = np.frombuffer(expand(raw[8:]), np.uint8), slice(at[i], at[i + 1])
             keys[to], low[to], high[to] = flat[: 8 * n].view(np.int64), flat[8 * n : 9 * n], flat[9 * n : 10 * n]
             columns[:, to] = flat[10 * n :].reshape(n, wide).T
-        mask = build(columns, keys, low, high, length)
+        bucket = group.column("bucket")[0].as_py()
+        fs, root = filesystem(folder)
+        part = f"{root}/.{attempt()[1]}-transform-{bucket}"
+        with fs.open_output_stream(part) as out:
+            mask = build(columns, keys, low, high, length, Transform(out))
+        fs.move(part, f"{root}/transform-{bucket}")
         cut = np.split(mask, np.cumsum(sizes)[:-1])
         for t, m in zip(names, cut):
-            yield blob(t, group.column("bucket")[0].as_py(), squeeze(m.tobytes(), 1))
+            yield blob(t, bucket, squeeze(m.tobytes(), 1))
 
     def remove(group: pa.Table):
         task = int(group.column("task")[0].as_py())
