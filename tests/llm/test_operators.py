@@ -94,6 +94,24 @@ def test_op1_periodic_and_null_ids(spark):
     assert got == {3: 400, 1: 0, 2: 0, None: 100, 4: 0, 5: 0, 6: 60}
 
 
+def test_op1_transform_files_hold_the_strings():
+    import io
+
+    rng = np.random.default_rng(5)
+    columns = rng.choice(np.frombuffer(b"ab\0", np.uint8), (74, 300))
+    columns[:, 100:200] = columns[:, :100]
+    file = io.BytesIO()
+    suffix_dedup.build(columns, np.arange(300), np.zeros(300, np.uint8), np.full(300, 24, np.uint8), 50, suffix_dedup.Transform(file))
+    file.seek(0)
+    assert (suffix_dedup.restore(file) == columns).all()
+    file.seek(0)
+    got = list(suffix_dedup.rounds(file))
+    assert len(got) == 74
+    texts = sorted(columns[40:, i].tobytes() for i in range(300))  # the suffixes of the round that inserts column 40
+    common = [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), 34) for a, b in zip(texts, texts[1:])]
+    assert [int(x) - 40 for x in got[74 - 41][1][1:]] == common
+
+
 def test_op1_text_stays_valid(spark):
     same = "ü" * 40
     left = {r[0]: r[1] for r in suffix_dedup.without_repeats(spark.createDataFrame([(1, same), (2, "x" + same + "y")], "doc_id long, text string")).collect()}
@@ -493,3 +511,155 @@ def test_op10_spans_and_extensions():
 
 def test_queries_are_all_there():
     assert [int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries()] == list(range(1, 11))
+
+
+def test_op6_scores_by_the_formula_and_whatever_the_partitions(docs, texts):
+    rows = docs.selectExpr("doc_id", "cast(coalesce(text, '') AS binary) raw")
+    train = rows.where(~lm_score.held_out(rows.doc_id))
+    counted = lm_score.Counted(train)
+    m = lm_score.fit(train, counted, head=400, top=60)
+    known = {h: i for i, h in enumerate(m.words.hashes.tolist())}
+    counts = {r["hash"] % (1 << 64): r["n"] for r in counted.table.collect()}
+    rare_n, rare_types = m.mass[0], counted.types - len(known)
+    got = {r["doc_id"]: r["score"] for r in lm_score.scored(docs, head=400, top=60).collect()}
+    for d in sorted(texts)[:12]:
+        h, s, stops = lm_score.tokens([texts[d].encode()])
+        item = [m.words.items[known[x]] if x in known else 60 + y for x, y in zip(h.tolist(), s.tolist())]
+        total = 0.0
+        for i, x in enumerate(h.tolist()):
+            one, two = (int(x) for x in ([0, 0, *item][i + 1], [0, 0, *item][i]))
+            f = np.array([[one], [1084 + two], [2168 + ((one * 1084 + two) * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - m.net.bits))]])
+            z = m.net.weights[f[:, 0]].sum(axis=0) + m.net.bias
+            at = known.get(x)
+            k = int(m.words.classes[at]) if at is not None else 0
+            total += z[k] - math.log(np.exp(z.astype(float)).sum())
+            if at is None:
+                n = counts.get(x)
+                total += math.log((n - counted.discount if n else counted.discount * rare_types) / rare_n)
+                continue
+            bits = min(m.net.bits, lm_score.INNER_BITS)
+            place = [(y * 32 + k) * 0x9E3779B97F4A7C15 % (1 << 64) >> (64 - bits) for y in (one, 1084 + two)]
+            z = m.net.inner[place].sum(axis=0) + m.net.inner_bias[k]
+            member = int(m.words.members[at])
+            total += z[member] - math.log(np.exp(z.astype(float)).sum())
+            if member == 0:
+                total += math.log(m.words.counts[at] / m.rest[k])
+        assert got[d] == pytest.approx(total / math.log(10), rel=1e-4)
+    again = {r["doc_id"]: r["score"] for r in lm_score.scored(docs.repartition(7, "text"), head=400, top=60).collect()}
+    assert all(again[d] == pytest.approx(got[d], rel=1e-6) for d in got)
+
+
+def test_op6_chances_sum_to_one_over_all_words(docs):
+    rows = docs.selectExpr("doc_id", "cast(coalesce(text, '') AS binary) raw")
+    m = lm_score.fit(rows, lm_score.Counted(rows), head=300, top=50)
+    n = len(m.words.hashes)
+    for one, two in ((0, 0), (3, 7), (49, 60)):
+        f = np.repeat(np.array([[one], [1074 + two], [2148 + 5]]), n, axis=1)
+        kinds, members = m.words.classes.astype(np.int64), m.words.members.astype(np.int64)
+        p = m.net.log_chance(f, kinds, members)
+        late = members == 0
+        p[late] += np.log(m.words.counts[late] / m.rest[kinds[late]])
+        rare = math.exp(m.net.log_softmax(f[:, :1])[0, 0])
+        assert np.exp(p).sum() + rare == pytest.approx(1, abs=1e-4)
+
+
+def test_op2_one_address_for_each_payload(spark, docs, tmp_path):
+    twice = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 1_000_000)).repartition(6)
+    index = media.store(twice, f"file://{tmp_path}")
+    first, held = media.addresses(index)
+    assert first.count() == index.select("media_sha256").distinct().count() < held.count()
+    for r in media.describe(first, f"file://{tmp_path}", whole=False).collect():
+        assert r["width"] == 192 and r["payload_bytes"] is None
+    got = media.columns(twice).collect()
+    assert len(got) == twice.count()
+    by = {}
+    for r in got:
+        by.setdefault(r["payload_sha256"], set()).add(tuple(r)[1:])
+    assert all(len(v) == 1 for v in by.values())
+
+
+def test_op2_feature():
+    payload = bytes(range(192)) * 2
+    x = np.frombuffer(payload, np.uint8)
+    means = [x[i * 6 : i * 6 + 6].mean() for i in range(64)]
+    bits = int("".join("1" if m > np.median(means) else "0" for m in means), 2)
+    assert media.feature(payload) == f"{x.mean():.3f}:{x.std():.3f}:{bits:016x}"
+
+
+def test_op5_open_bins_are_packed_again(spark):
+    random.seed(3)
+    sizes = [(random.randint(1, 90),) for _ in range(3000)]
+    df = spark.createDataFrame(sizes, "length long").repartition(4)
+    once, twice = (len({r[0] for r in packing.pack(df, 100, group_rows=60, full=full).select("sequence_id").collect()}) for full in (0.0, 0.98))
+    rows = packing.pack(df, 100, group_rows=60).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(n for b in bins.values() for _, n in b) == sorted(s[0] for s in sizes)
+    for b in bins.values():
+        b.sort()
+        assert b[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:])) and b[-1][0] + b[-1][1] <= 100
+    whole = len(set(packing.fit(np.array([s[0] for s in sizes]), 100, 100)[0].tolist()))
+    assert once - twice >= 0.4 * (once - whole)  # what is lost in groups of 60 rows
+
+
+def test_op5_other_capacities_bind():
+    sizes = np.array([10] * 40 + [1] * 60)
+    plain = packing.fit(sizes, 100, 100, 10_000.0)[0]
+    few, cheap = packing.fit(sizes, 100, 5, 10_000.0)[0], packing.fit(sizes, 100, 100, 300.0)[0]
+    assert plain.max() + 1 == 5 and few.max() + 1 == 20 and cheap.max() + 1 == 14
+    for bins, most, cost in ((few, 5, 10_000), (cheap, 100, 300)):
+        for b in set(bins.tolist()):
+            s = sizes[bins == b]
+            assert len(s) <= most and (s**2).sum() <= cost
+
+
+def test_op7_batches_score_as_one_by_one(spark):
+    random.seed(2)
+    words = ["idiot", "trash", "Über", "the", "of", "kindness", "x"]
+    raws = [" ".join(random.choices(words, k=random.randint(0, 40))).encode() for _ in range(60)] + [b"", b"12 34", b"a\nb"]
+    f = np.unique(np.concatenate(toxicity.distinct(raws)))[::2]
+    m = toxicity.Model(f, np.random.default_rng(0).normal(size=len(f)), -0.3)
+    weight = dict(zip(f.tolist(), m.weights))
+    for raw, got, small in zip(raws, m.scores(raws), m.scores(raws, 50)):
+        z = -0.3 + sum(weight.get(int(x), 0.0) for x in toxicity.distinct([raw])[0])
+        assert got == pytest.approx(1 / (1 + math.exp(-z))) == pytest.approx(small)
+
+
+def test_op7_null_and_empty_texts_stay(spark):
+    rows = [(i, "awful text" if i % 10 else "", 1) for i in range(40)] + [(100, None, 1), (101, "", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    left = {r["doc_id"] for r in toxicity.clean(docs.select("doc_id", "text"), docs.select("doc_id", "toxic")).collect()}
+    assert {100, 101, 0, 10, 20, 30} <= left
+
+
+def test_op10_same_start(docs, texts):
+    order = sorted(texts, reverse=True)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs.repartition(3)).collect()}
+    for d, nxt in zip(order, order[1:] + order[:1]):
+        t, n = texts[d], len(texts[d]) // 3
+        for other, column in ((t[: len(t) - n] + texts[nxt][:n], "same_start"), (texts[nxt], "same_start_next")):
+            assert got[d][column] == next((i for i, (x, y) in enumerate(zip(t, other)) if x != y), min(len(t), len(other)))
+
+
+def test_op10_likeness_is_near_the_jaccard_of_spans(texts):
+    some = [t for t in texts.values() if len(t) > 400][:40]
+    off = []
+    for a, b in zip(some, some[1:]):
+        mixed = a[: len(a) // 2] + b[: len(b) // 2]
+        x, y = ({t[i : i + 16] for i in range(len(t) - 15)} for t in (a, mixed))
+        got = fingerprints.likeness(*(fingerprints.Fingerprint(fingerprints.codes(t)) for t in (a, mixed)))
+        off.append(abs(got - len(x & y) / len(x | y)))
+    assert np.mean(off) < 0.08 and max(off) < 0.3
+
+
+def test_tokenizers_with_other_patterns_are_encoded_whole(tmp_path):
+    import json
+
+    spec = json.load(open(tokens.default_path(), encoding="utf-8"))
+    spec["pre_tokenizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(spec), encoding="utf-8")
+    e = tokens.Encoder(str(tmp_path / "other.json"))
+    assert not e.cuts and tokens.Encoder(tokens.default_path()).cuts
+    for t in ("some of the words", " a b ", ""):
+        assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == e.lib.encode(t, add_special_tokens=False).ids
