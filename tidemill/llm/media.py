@@ -22,8 +22,8 @@ from .common import attempt, filesystem, partitions, scratch, scratch_path, text
 WIDTH = 192
 #: Fixed values of the PNG format: signature, and the header's length up to the end of IHDR.
 SIGNATURE, HEAD = b"\x89PNG\r\n\x1a\n", 33
-STORED = "doc_id long, n_bytes long, media_sha256 string, shard string, offset long, length long"
-READ = "width long, height long, bit_depth int, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+STORED = "doc_id long, n_bytes long, media_sha256 binary, shard string, offset long, length long, place long, first boolean"
+READ = "width long, height long, bit_depth int, payload_bytes long, payload_sha256 binary, tail_crc32 long, feature string"
 
 
 def padded(raw: bytes) -> bytes:
@@ -74,21 +74,21 @@ def feature(payload: bytes) -> str:
 def store(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20, level: int = 1) -> DataFrame:
     """Writes each partition's distinct payloads to its own tar shards, members named by digest; a row a document.
 
-    A shard holds a payload once; copies in one partition share its offset. A retried task writes new shards, and only
-    rows of the attempt that counts name them.
+    A shard holds a payload once; copies in one partition share its offset and its place, a number of its own. A retried
+    task writes new shards, and only rows of the attempt that counts name them.
     """
     names = [f.split()[0] for f in STORED.split(", ")]
 
     def write(batches):
-        _, name = attempt()
+        task, name = attempt()
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
-        out, at, shard, number, held = None, 0, "", 0, {}
+        out, at, shard, number, held, place = None, 0, "", 0, {}, task << 40
         for batch in batches:
             rows = []
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 source = hashlib.blake2b(raw, digest_size=16).digest()
-                if source not in held:
+                if new := source not in held:
                     if out is not None and at >= shard_bytes:
                         out.write(b"\0" * 1024)
                         out.close()
@@ -97,16 +97,17 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20, level: int
                         shard = f"{root}/{name}-{number:04d}.tar"
                         out = fs.open_output_stream(shard)
                     media = png(padded(raw), level)
-                    digest = hashlib.sha256(media).hexdigest()
-                    member = tarfile.TarInfo(f"{digest}.png")
+                    digest = hashlib.sha256(media)
+                    member = tarfile.TarInfo(f"{digest.hexdigest()}.png")
                     member.size = len(media)
                     head = member.tobuf(tarfile.USTAR_FORMAT)
                     out.write(head + media + b"\0" * (-len(media) % 512))
-                    held[source] = (digest, shard, at + len(head), len(media))
+                    held[source] = (digest.digest(), shard, at + len(head), len(media), place)
+                    place += 1
                     at += len(head) + len(media) + -len(media) % 512
-                rows.append((doc, len(raw), *held[source]))
+                rows.append((doc, len(raw), *held[source], new))
             if rows:
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+                types = (pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
         if out is not None:
             out.write(b"\0" * 1024)
@@ -139,13 +140,13 @@ def describe(index: DataFrame, folder: str, whole: bool = True) -> DataFrame:
                     if whole:
                         file.seek(at)
                         payload = samples(file.read(n))
-                        got = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), feature(payload))
+                        got = (len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-16:]), feature(payload))
                     last[at] = (*shape, *got)
                     if len(last) > 64:
                         last.popitem(last=False)
                 rows.append(last[at])
             if rows:
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string())
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, t) for x, t in zip(zip(*rows), types))], [*batch.schema.names, *added])
 
     near = index.repartition(partitions(index.sparkSession), "shard", F.floor(F.col("offset") / (1 << 22))).sortWithinPartitions("shard", "offset")
@@ -153,25 +154,23 @@ def describe(index: DataFrame, folder: str, whole: bool = True) -> DataFrame:
     return near.mapInArrow(read, f"{fields}, {READ}")
 
 
-def addresses(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One address a payload (media_sha256, shard, offset, length): the first of those that tasks have stored; and every
-    (media_sha256, held_in) that index rows name, of which a task's rows make one, however many copies it had."""
-    held = index.select("media_sha256", "shard", "offset", "length").distinct()
-    first = held.groupBy("media_sha256").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("media_sha256", "at.*")
-    return first, held.select("media_sha256", F.col("shard").alias("held_in"))
+def addresses(index: DataFrame) -> DataFrame:
+    """media_sha256, shard, offset, length, places: one address a payload, the first of those that tasks have stored, and
+    the places that rows name it by, at most one a shard."""
+    stored = index.where("first").groupBy("media_sha256").agg(F.min(F.struct("place", "shard", "offset", "length")).alias("at"), F.collect_list("place").alias("places"))
+    return stored.select("media_sha256", "at.shard", "at.offset", "at.length", "places")
 
 
 def columns(docs: DataFrame) -> DataFrame:
     """Null or empty text: one line of spaces. Equal texts: equal values. Null and repeated doc_ids: a row each.
 
     Rows refer to one address for each payload, which is read once; copies in other tasks' shards are referred to by none.
-    A payload's columns reach its rows by shard, so that a text with many copies is spread as its rows were.
+    A payload's columns reach its rows by place, so that a text with many copies is spread as its rows were.
     """
     folder = scratch_path(docs.sparkSession, "media")
     index = store(docs, folder)
-    first, held = addresses(index)
-    known = scratch(describe(first, folder), "media-columns").join(held, "media_sha256")
-    rows = index.select("doc_id", "n_bytes", "media_sha256", F.col("shard").alias("held_in"))
-    return rows.join(known, ["media_sha256", "held_in"]).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height", "bit_depth", "offset"
+    known = describe(addresses(index), folder).withColumn("place", F.explode("places"))
+    digest = lambda c: F.lower(F.hex(c)).alias(c)
+    return index.select("doc_id", "n_bytes", "place").join(known, "place").select(
+        "doc_id", "n_bytes", "payload_bytes", digest("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), digest("media_sha256"), "feature", "width", "height", "bit_depth", "offset"
     )
