@@ -16,7 +16,7 @@ of these items by the frequent words that they follow.
 
 Documents are dealt to learners by a hash of doc_id and text, so the model and every score hang on the rows alone and not
 on files, partitions or the order in which tasks end. Learners and feature rows grow with the training tokens and types,
-the rows up to 2^16 (8 MB a worker).
+the rows up to 2^15 (4 MB a worker).
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def log_chances(z: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 
 def descend(weights: np.ndarray, past: np.ndarray, seen: np.ndarray, rows: np.ndarray, g: np.ndarray, rate: float) -> None:
-    """One minibatch step: the gradient of each row, scaled by the root of its squares so far."""
+    """One minibatch step: the gradient of each row, scaled by the root of its squared lengths so far."""
     for r in rows:
         short = r.astype(np.uint16) if len(weights) <= 1 << 16 else r
         order = np.argsort(short, kind="stable")
@@ -132,9 +132,8 @@ def descend(weights: np.ndarray, past: np.ndarray, seen: np.ndarray, rows: np.nd
         first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
         at = short[first].astype(np.int64)
         step = np.add.reduceat(np.take(g, order, axis=0), first, axis=0)
-        squares = past[at] + step * step
-        past[at] = squares
-        weights[at] -= rate * step / np.sqrt(squares + 1e-3)
+        past[at] = squares = past[at] + np.einsum("ij,ij->i", step, step)
+        weights[at] -= step * (rate / np.sqrt(squares + 1e-3))[:, None]
         seen[at] += np.diff(np.append(first, len(r)))
 
 
@@ -318,8 +317,7 @@ def learnt(train: DataFrame, model: Model, learners: int, rounds: int, batch: in
             rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for learner, mine in itertools.groupby(rows, key=lambda r: r[0]):
                 net = own(sent.value.net)
-                past = [np.zeros_like(getattr(net, n)) for n in names]
-                seen = [np.zeros(len(p), np.float32) for p in past]
+                past, seen = ([np.zeros(len(getattr(net, n)), np.float32) for n in names] for _ in range(2))
                 for raws in gathered_texts(raw for _, raw in mine):
                     _, _, item, kind, member, stops = sent.value.look(raws)
                     f = net.features(item, stops)
@@ -369,10 +367,10 @@ class Counted:
         self.discount = singles / (singles + 2 * twos) if singles else 0.5
 
 
-def fit(train: DataFrame, counted: Counted, classes: int = 32, members: int = 32, head: int = 1 << 20, top: int = 4096, bits: int | None = None, signs: int = 64, rounds: int = 1, batch: int = 4096, rate: float = 0.25, learner_tokens: int = 3_000_000) -> Model:
+def fit(train: DataFrame, counted: Counted, classes: int = 32, members: int = 32, head: int = 1 << 20, top: int = 4096, bits: int | None = None, signs: int = 64, rounds: int = 1, batch: int = 4096, rate: float = 0.5, learner_tokens: int = 3_000_000) -> Model:
     """The model of training documents (doc_id, raw). bits: of the hashed rows, by default by the number of types."""
     spark = train.sparkSession
-    bits = bits or min(16, max(10, int(counted.types).bit_length() - 5))
+    bits = bits or min(15, max(10, int(counted.types).bit_length() - 5))
     most = counted.table.where("n >= 2").orderBy(F.desc("n"), "hash").limit(head).toArrow()  # at most `head` rows of 20 bytes
     hashes, seen_n, suffix = (most.column(c).to_numpy() for c in ("hash", "n", "suffix"))
     hashes = hashes.view(np.uint64)
