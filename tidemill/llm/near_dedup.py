@@ -185,12 +185,11 @@ def among(rows: DataFrame, by: list[str], block: int) -> DataFrame:
     return rows.select(*by, F.lit(1).alias("kind"), F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side", "home", "node")
 
 
-def parted(rows: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows (by, home, node) of each group's largest home, and the others with that home as `main`; groups of one home go."""
+def largest(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, main: the home that most rows (by, home, node) of a group have; groups of one home go."""
     sizes = rows.groupBy(*by, "home").agg(F.count("*").alias("n"))
     most = sizes.groupBy(*by).agg(F.max(F.struct("n", "home")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
-    both = rows.join(most.select(*by, F.col("top.home").alias("main")), by)
-    return both.where("home = main"), both.where("home <> main")
+    return most.select(*by, F.col("top.home").alias("main"))
 
 
 def sides(rows: pa.Table) -> np.ndarray | None:
@@ -205,9 +204,7 @@ def open_pairs(found: DataFrame, of: DataFrame, reps: DataFrame, fewest: int, bl
     a, b: pairs of homes that near members of a bucket connect, beyond that home.
     """
     rows = found.join(of, "node", "left").select("lead", "bucket", "node", F.coalesce("component", "node").alias("home"))
-    mixed = rows.groupBy("lead", "bucket").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a <> b").select("lead", "bucket")
-    rows = scratch(rows.join(mixed, ["lead", "bucket"], "left_semi"), "mixed")
-    others = parted(rows, ["lead", "bucket"])[1]
+    others = scratch(rows.join(largest(rows, ["lead", "bucket"]), ["lead", "bucket"]).where("home <> main"), "others")
     ahead = others.select("node", "home", F.col("main").alias("target")).distinct()
     group = ["lead", "bucket", "kind", "one", "two"]
     rest = among(others.drop("main"), ["lead", "bucket"], 16 * block).join(reps.select("node", "signature"), "node")
@@ -268,9 +265,10 @@ def settled(ahead: DataFrame, pairs: DataFrame, of: DataFrame, sets, reps: DataF
     targets = members(ahead.select(F.col("target").alias("cluster"), F.col("target").alias("home")).distinct())
     first = facing(targets, ahead.select(F.col("target").alias("cluster"), "home", "node"), ["cluster"], block)
     rows = scratch(members(components(pairs).withColumnsRenamed({"node": "home", "component": "cluster"})), "cluster-members")
-    mains, others = parted(rows, ["cluster"])
-    second = facing(mains.drop("main"), others.drop("main"), ["cluster"], block).withColumn("kind", F.lit(2))
-    dealt_ = scratch(first.unionByName(second).unionByName(among(others.drop("main"), ["cluster"], block)), "dealt")
+    both = rows.join(largest(rows, ["cluster"]), "cluster")
+    mains, others = both.where("home = main").drop("main"), both.where("home <> main").drop("main")
+    second = facing(mains, others, ["cluster"], block).withColumn("kind", F.lit(2))
+    dealt_ = scratch(first.unionByName(second).unionByName(among(others, ["cluster"], block)), "dealt")
     group = ["cluster", "kind", "one", "two"]
     every = dealt_.join(sets(dealt_.select("node")), "node").join(reps.select("node", "signature"), "node")
     every = every.repartition(partitions(reps.sparkSession), *group).sortWithinPartitions(*group)
