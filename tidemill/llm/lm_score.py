@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attempt, scratch, text_bytes
+from .common import attempt, scratch, text_bytes, trim
 from .shingles import SPACE, STEPS, TABLE, mix
 
 END = np.uint64(0x0123456789ABCDEF)
@@ -211,6 +211,8 @@ def count(train: DataFrame) -> DataFrame:
                 ss.append(s)
             u, first, n = np.unique(np.concatenate(hs), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.concatenate(ss)[first].astype(np.int32)), pa.array(n.astype(np.int64))], ["hash", "suffix", "n"])
+            del hs, ss, u, first, n
+        trim()
 
     return scratch(train.select("raw").mapInArrow(of, "hash long, suffix int, n long").groupBy("hash").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n")), "lm-counts")
 
@@ -330,7 +332,10 @@ def learnt(train: DataFrame, model: Model, learners: int, rounds: int, batch: in
                     w = getattr(net, n)
                     all_rows[at : at + len(w), : w.shape[1]] = w * times[:, None]
                     all_rows[at : at + len(w), -1] = times
+                del net, past, seen
                 yield from blocks(all_rows, learner)
+                del all_rows
+                trim()
 
         got = gathered(merged(dealt.mapInArrow(learn, "block int, task int, raw binary")), (cut + shapes[1][0], wide))
         net = own(model.net)
@@ -452,6 +457,7 @@ def scored(docs: DataFrame, batch: int = 4096, **options) -> DataFrame:
                 ["key", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"],
             )
             key += n
+        trim()
 
     main = scratch(rows.select("doc_id", "out", "raw").mapInArrow(judge, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<long>"), "lm-scores")
     rare = main.select("key", F.explode("rare").alias("hash")).groupBy("key", "hash").agg(F.count("*").alias("times"))
