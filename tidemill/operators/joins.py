@@ -32,8 +32,10 @@ def interval(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], lt:
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], lt: str, rt: str, sequence: str | None = None, how: str = "left", prefix: str = "table_") -> DataFrame:
     """Each left row with the latest right row of its key at or before its time; of equal times the later in sequence.
 
-    Both sides are united and carried forward in one sorted pass: one shuffle on the keys, and no pairs are made.
+    Both sides are united and carried forward in one sorted pass: one shuffle on the keys, and no pairs are made. Null keys
+    and null times match nothing.
     """
+    right = right.dropna(subset=[*keys, rt])
     values = [c for c in right.columns if c not in keys]
     order = [F.col("_t"), F.col("_side")] + ([F.col("_q")] if sequence else [])
     a = left.select(*keys, F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(F.struct(*values).alias("x")).schema["x"].dataType).alias("_val"), F.col(lt).alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_q"))

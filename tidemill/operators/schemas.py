@@ -5,11 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Type changes that lose nothing (old, new).
 WIDER = {("int", "bigint"), ("int", "float"), ("int", "double"), ("bigint", "double"), ("float", "double")}
 LEVELS = ("NONE", "BACKWARD", "FORWARD", "FULL")
+#: The risk of a change, by whether fields went, and by its worst change of a type.
+RISK = {
+    (False, None): "safe", (False, "wider"): "low", (False, "other"): "high",
+    (True, None): "medium", (True, "wider"): "critical", (True, "other"): "critical",
+}
 
 
 @dataclass(frozen=True)
@@ -28,13 +34,19 @@ class Diff:
 
     @property
     def risk(self) -> str:
-        if self.removed and self.modified:
-            return "critical"
-        if self.narrowed:
-            return "high"
-        if self.removed:
-            return "medium"
-        return "low" if self.modified else "safe"
+        return RISK[bool(self.removed), "other" if self.narrowed else "wider" if self.modified else None]
+
+    def steps(self) -> list[str]:
+        """What a migration does, in an order that lets readers of either version go on while it runs."""
+        out = [f"add {n} {t}" for n, t in self.added.items()]
+        out += [f"{'widen' if change in WIDER else 'copy'} {n} {change[0]} to {change[1]}" for n, change in self.modified.items()]
+        return out + ["move readers"] * bool(out) + [f"drop {n}" for n in self.removed]
+
+
+def migrate(df: DataFrame, new: T.StructType) -> DataFrame:
+    """Rows in the new schema: values cast where that loses nothing that can be kept (else null), new fields null."""
+    have = set(df.columns)
+    return df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in new])
 
 
 def fields(schema: T.StructType) -> dict[str, str]:

@@ -58,24 +58,25 @@ def drain_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def split_late(stream: DataFrame, ts: str, delay_seconds: float, on_time: str, late: str, checkpoint: str) -> StreamingQuery:
+def split_late(stream: DataFrame, ts: str, delay_seconds: float, on_time: str, late: str, checkpoint: str, policy: str = "redirect") -> StreamingQuery:
     """Rows behind the mark (greatest time of earlier batches less the delay) go to their own folder, the rest on.
 
-    The mark is found again from what is on disk, so a restarted query goes on from it.
+    Every batch has folders of its own (_batch=number) and leaves its mark in a row; a batch that runs again replaces what
+    it wrote, and a restarted query goes on from the last mark. policy "include" keeps late rows with the others, "drop"
+    leaves them out, "redirect" sends them aside.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            seen = spark.read.parquet(on_time).where(F.col("_batch") < number).agg(F.max(ts)).first()[0]
-        except Exception as e:  # nothing was written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            seen = None
+        before = [r for r in spark.read.schema("batch long, mark timestamp").parquet(f"{on_time}-marks").where(F.col("batch") < number).orderBy(F.desc("batch")).limit(1).collect()] if number else []
+        seen = before[0]["mark"] if before else None
         behind = F.lit(False) if seen is None else F.col(ts) < F.lit(seen) - F.make_dt_interval(secs=F.lit(delay_seconds))
-        marked = batch.withColumn("_batch", F.lit(number))
-        for path, rows in ((late, marked.where(behind)), (on_time, marked.where(~behind))):
-            rows.write.mode("append").parquet(path)
+        split = {late: batch.where(behind), on_time: batch.where(~behind)} if policy != "include" else {on_time: batch}
+        for path, rows in split.items():
+            if path != late or policy == "redirect":
+                rows.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+        mark = batch.agg(F.greatest(F.max(ts), F.lit(seen).cast("timestamp")).alias("mark")).select(F.lit(number).cast("long").alias("batch"), "mark")
+        mark.write.mode("overwrite").parquet(f"{on_time}-marks/part={number}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
 
