@@ -45,7 +45,7 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-@pytest.mark.parametrize("name, column", [("knn_stated_set", "query_id"), ("subscription_stated_set", "subscription")])
+@pytest.mark.parametrize("name, column", [("knn", "query_id"), ("similarity_subscription", "subscription")])
 def test_exact_search_answers_every_stated_query(spark, sf, name, column):
     stated = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
     assert len(stated) > 10 and {r[0] for r in QUERIES[name](spark, sf).select(column).distinct().collect()} == stated

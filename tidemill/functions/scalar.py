@@ -82,10 +82,6 @@ def min_max(x: Column, low: float, high: float) -> Column:
     return (x - low) / (high - low) if high != low else F.lit(0.0)
 
 
-def like(s: Column, pattern: str) -> Column:
-    return s.like(pattern)
-
-
 def time_partition(ts: Column, kind: str) -> Column:
     """Partition keys: hourly, daily, weekly (ISO), monthly, yearly."""
     if kind == "weekly":
@@ -94,10 +90,6 @@ def time_partition(ts: Column, kind: str) -> Column:
     return F.date_format(ts, {"hourly": "yyyy-MM-dd-HH", "daily": "yyyy-MM-dd", "monthly": "yyyy-MM", "yearly": "yyyy"}[kind])
 
 
-def json_text(value: Column, path: str) -> Column:
-    return F.get_json_object(value, path if path.startswith("$") else f"$.{path}")
-
-
 def mask_partial(s: Column) -> Column:
     """Addresses keep their first letter and domain, other texts their last four characters."""
     mail = F.concat(F.substring(s, 1, 1), F.lit("***"), F.regexp_extract(s, r"(@.*)$", 1))
@@ -121,13 +113,11 @@ def folded(s: Column) -> Column:
     return F.aggregate(places, zero, step, lambda h: F.concat(F.lit("masked_"), text(h["high"]), text(h["low"])))
 
 
-REGISTER = {
-    "byte_length": "octet_length(s)",
-    "mask_all": "CASE WHEN s IS NULL THEN NULL ELSE '****' END",
-}
+def hash31(s: Column) -> Column:
+    """A text's UTF-8 bytes folded by times 31 plus byte, modulo 2^64, as a signed number."""
+    return F.conv(F.substring(folded(s), 8, 16), 16, -10).cast("long")
 
 
-def register(spark) -> None:
-    """SQL functions for what the dialect renames."""
-    for name, body in REGISTER.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(s STRING) RETURN {body}")
+def word_count(s: Column) -> Column:
+    """Runs of other than white space."""
+    return F.regexp_count(s, F.lit(r"\S+")).cast("long")

@@ -69,23 +69,25 @@ def ewma(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0
     return _by_key(df, key, order, value, "deviation double, is_anomaly boolean", step)
 
 
-def local_outliers(df: DataFrame, key: str, order: list[str], value: str, window: int = 50, k: int = 5, ratio: float = 2.0) -> DataFrame:
-    """Mean distance to the k nearest of the window before, over that of these neighbours."""
+def local_outliers(df: DataFrame, key: str, order: list[str], value: str, window: int = 50, k: int = 5, ratio: float = 2.0, warm_up: int = 10) -> DataFrame:
+    """Adds lof, the distance to the k-th nearest value of the window before over the mean distance to the k nearest (1 if
+    that is 0, null before `warm_up` values), and is_anomaly."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-window, -1)
+    held = df.withColumn("_d", F.slice(F.sort_array(F.transform(F.collect_list(value).over(w), lambda x: F.abs(x - F.col(value)))), 1, k)).withColumn("_n", F.count(value).over(w))
+    mean = F.aggregate("_d", F.lit(0.0), lambda s, x: s + x) / F.size("_d")
+    lof = F.when(F.col("_n") >= warm_up, F.when(mean > 0, F.element_at("_d", -1) / mean).otherwise(F.lit(1.0)))
+    return held.withColumn("lof", lof).drop("_d", "_n").withColumn("is_anomaly", F.coalesce(F.col("lof") > ratio, F.lit(False)))
 
-    def step(x):
-        out = []
-        for i, v in enumerate(x):
-            past = x[max(0, i - window) : i]
-            if len(past) <= k:
-                out.append(0.0)
-                continue
-            near = past[np.argsort(np.abs(past - v), kind="stable")[:k]]
-            own = np.abs(near - v).mean()
-            other = np.mean([np.sort(np.abs(past - y))[1 : k + 1].mean() for y in near])
-            out.append(float(own / other) if other > 0 else 0.0)
-        return {"lof": out, "is_anomaly": [o > ratio for o in out]}
 
-    return _by_key(df, key, order, value, "lof double, is_anomaly boolean", step)
+def isolation(df: DataFrame, key: str, order: list[str], value: str, window: int = 50, least: float = 0.1, warm_up: int = 10) -> DataFrame:
+    """Adds isolation, the share of the window's values beyond its mean from the value and smaller in size (null before
+    `warm_up` values), and is_anomaly: under `least`."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-window, -1)
+    held = df.withColumn("_s", F.collect_list(value).over(w)).withColumn("_m", F.avg(value).over(w))
+    side = lambda x: F.when(x >= 0, 1).otherwise(-1)
+    far = F.size(F.filter("_s", lambda x: (side(F.col("_m") - F.col(value)) != side(F.col("_m") - x)) & (F.abs(x) < F.abs(F.col(value)))))
+    held = held.withColumn("isolation", F.when(F.size("_s") >= warm_up, far / F.size("_s"))).drop("_s", "_m")
+    return held.withColumn("is_anomaly", F.coalesce(F.col("isolation") < least, F.lit(False)))
 
 
 def holt(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.5, beta: float = 0.3, ahead: int = 1) -> DataFrame:
@@ -112,16 +114,16 @@ def trend(df: DataFrame, key: str, order: list[str], value: str, flat: float = 0
     return got.withColumn("direction", F.when(share > flat, "up").when(share < -flat, "down").otherwise("flat")).drop("_m")
 
 
-def seasons(df: DataFrame, key: str, order: list[str], value: str, longest: int = 64, least: float = 0.5, top: int = 3) -> DataFrame:
-    """key, period, correlation: autocorrelations above `least`, the `top` strongest."""
-    kind = dict(df.dtypes)[key]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(order)[value].to_numpy(float)
-        d, out = x - x.mean(), []
-        if (d**2).sum() > 0:
-            out = [(p, float((d[:-p] * d[p:]).sum() / (d**2).sum())) for p in range(2, min(longest, len(x) // 2) + 1)]
-        out = sorted([o for o in out if o[1] > least], key=lambda o: (-o[1], o[0]))[:top]
-        return pd.DataFrame({key: [rows[key].iloc[0]] * len(out), "period": [o[0] for o in out], "correlation": [o[1] for o in out]})
-
-    return df.groupBy(key).applyInPandas(run, f"{key} {kind}, period long, correlation double")
+def seasons(df: DataFrame, key: str, order: list[str], value: str, shortest: int = 2, longest: int = 64, least: float = 0.5, top: int = 3) -> DataFrame:
+    """key, period, correlation: the `top` strongest autocorrelations above `least`, for keys of three periods or more and
+    periods up to half a key's values. Each lag's products are summed, and divided by their number and the variance."""
+    w, every = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key)
+    lags = range(shortest, longest + 1)
+    x = df.where(F.col(value).isNotNull()).select(key, *order, (F.col(value) - F.avg(value).over(every)).alias("_d"))
+    x = x.select(key, "_d", *[F.lag("_d", p).over(w).alias(f"_l{p}") for p in lags])
+    sums = x.groupBy(key).agg(F.count("*").alias("_n"), F.avg(F.col("_d") * F.col("_d")).alias("_v"), *[F.sum(F.col("_d") * F.col(f"_l{p}")).alias(f"_s{p}") for p in lags])
+    rows = F.array(*[F.struct(F.lit(p).cast("long").alias("period"), (F.col(f"_s{p}") / (F.col("_n") - p) / F.col("_v")).alias("correlation")) for p in lags])
+    found = sums.where((F.col("_n") >= 3 * shortest) & (F.col("_v") > 0)).select(key, "_n", F.explode(rows).alias("_r")).select(key, "_n", "_r.*")
+    found = found.where((F.col("period") <= F.floor(F.col("_n") / 2)) & (F.col("correlation") > least))
+    best = Window.partitionBy(key).orderBy(F.desc("correlation"), "period")
+    return found.withColumn("_p", F.row_number().over(best)).where(F.col("_p") <= top).select(key, "period", "correlation")

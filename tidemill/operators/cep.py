@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,59 +37,50 @@ class Pattern:
         return self
 
 
-def advance(times, flags, steps: list[bool], seconds: float | None, strict: bool) -> list[list[int]]:
-    """Row numbers of each match. steps: negated or not; flags[k][i]: event i meets step k.
-
-    A partial match moves on (and isn't kept behind) when an event meets its next step, and ends when an event meets a
-    negation before that step or comes too late. Every event that meets the first step starts one.
-    """
-    live, done = [], []
-    for i, t in enumerate(times):
-        nxt = []
-        for k, rows in live:
-            if seconds is not None and t - times[rows[0]] > seconds:
-                continue
-            banned, j = False, k
-            while j < len(steps) and steps[j]:
-                banned |= flags[j][i]
-                j += 1
-            if banned:
-                continue
-            if j < len(steps) and flags[j][i]:
-                rows = [*rows, i]
-                if j + 1 == len(steps):
-                    done.append(rows)
-                else:
-                    nxt.append((j + 1, rows))
-            elif not strict:
-                nxt.append((k, rows))
-        if flags[0][i]:
-            if len(steps) == 1:
-                done.append([i])
-            else:
-                nxt.append((1, [i]))
-        live = nxt
-    return done
-
-
 def match(df: DataFrame, pattern: Pattern, key: str, ts: str, ident: str) -> DataFrame:
     """key, match_start, match_end, ids (of the matched events in order).
 
-    Conditions are evaluated as columns; only key, time, id and flags reach Python, and events that meet no step stay
-    behind unless the pattern is strict.
+    Every event that meets the first step begins a match, which goes on with the next event that meets its next step; an
+    event that meets a negation before or at that one ends it. So the steps chain from the last to the first: each event
+    of a step takes the match that begins at the nearest later event of the next step. That is one sort and a window
+    function a step. With a time limit the time axis is cut into slots of eight limits, and the events that begin a slot
+    are read with the slot before it too, so a busy key is spread over many tasks.
     """
-    flags = [F.coalesce(c, F.lit(False)).alias(f"_f{k}") for k, (_, c, _) in enumerate(pattern.steps)]
-    slim = df.select(key, ts, ident, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), *flags)
+    if not pattern.steps or pattern.steps[0][2] or pattern.steps[-1][2]:
+        raise ValueError("a pattern begins and ends with a step that isn't negated")
+    met = [F.coalesce(c, F.lit(False)) for _, c, _ in pattern.steps]
+    rows = df.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(ident).alias("_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), *[m.alias(f"_f{k}") for k, m in enumerate(met)])
     if not pattern.strict:
-        slim = slim.where(F.expr(" OR ".join(f"_f{k}" for k in range(len(flags)))))
-    negated, seconds, strict = [n for _, _, n in pattern.steps], pattern.seconds, pattern.strict
-    kinds = dict(df.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_us", ident], ignore_index=True)
-        found = advance((rows["_us"] / 1e6).tolist(), [rows[f"_f{k}"].tolist() for k in range(len(negated))], negated, seconds, strict)
-        start, end = (rows.iloc[[m[k] for m in found]].reset_index(drop=True) for k in (0, -1))
-        ids = pd.Series([rows[ident].to_numpy()[m].tolist() for m in found], dtype=object)
-        return pd.DataFrame({key: start[key], "match_start": start[ts], "match_end": end[ts], "ids": ids})
-
-    return slim.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, match_start {kinds[ts]}, match_end {kinds[ts]}, ids array<{kinds[ident]}>")
+        rows = rows.where(F.expr(" OR ".join(f"_f{k}" for k in range(len(met)))))
+    if pattern.seconds is None:
+        rows = rows.withColumn("_slot", F.lit(0)).withColumn("_own", F.lit(True))
+    else:
+        limit = max(int(pattern.seconds * 1e6), 1)
+        own = F.floor(F.col("_us") / (8 * limit))
+        slots = F.when(F.col("_us") - own * (8 * limit) <= limit, F.array(own, own - 1)).otherwise(F.array(own))
+        rows = rows.withColumn("_slot", F.explode(slots)).withColumn("_own", F.col("_slot") == own)
+    back = Window.partitionBy("_key", "_slot").orderBy(F.desc("_us"), F.desc("_id"))
+    later = back.rowsBetween(Window.unboundedPreceding, -1)
+
+    def nearest(c: Column) -> Column:
+        return F.lag(c, 1).over(back) if pattern.strict else F.last(c, ignorenulls=True).over(later)
+
+    place = lambda: (F.col("_us").alias("us"), F.col("_id").alias("id"), F.col("_ts").alias("end"))
+    banned: list[int] = []
+    rows = rows.withColumn("_m", F.when(F.col(f"_f{len(met) - 1}"), F.struct(*place(), F.array("_id").alias("ids"))))
+    for k in range(len(met) - 2, -1, -1):
+        if pattern.steps[k][2]:
+            banned.append(k)
+            continue
+        ban = F.expr(" OR ".join(f"_f{b}" for b in banned)) if banned else F.lit(False)
+        rows = rows.withColumn("_n", nearest(F.col("_m"))).withColumn("_b", nearest(F.when(ban, F.struct(F.col("_us").alias("us"), F.col("_id").alias("id")))))
+        cut = F.coalesce(F.col("_b") <= F.struct(F.col("_n.us"), F.col("_n.id")), F.lit(False))
+        ids = F.when(F.col("_n.ids").isNotNull() & ~cut, F.concat(F.array("_id"), F.col("_n.ids")))
+        rows = rows.withColumn("_m", F.when(F.col(f"_f{k}"), F.struct(F.col("_us").alias("us"), F.col("_id").alias("id"), F.col("_n.end").alias("end"), ids.alias("ids"))))
+        banned = []
+    found = rows.where(F.col("_own") & F.col("_m.ids").isNotNull())
+    found = found.select(F.col("_key").alias(key), F.col("_ts").alias("match_start"), (F.col("_m.end") if len(met) > 1 else F.col("_ts")).alias("match_end"), F.col("_m.ids").alias("ids"))
+    if pattern.seconds is None:
+        return found
+    took = F.unix_micros(F.col("match_end").cast("timestamp")) - F.unix_micros(F.col("match_start").cast("timestamp"))
+    return found.where(took <= int(pattern.seconds * 1e6))

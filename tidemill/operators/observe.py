@@ -53,6 +53,44 @@ def count_by_level(logs: DataFrame) -> DataFrame:
     return logs.groupBy("level").agg(F.count("*").alias("n"))
 
 
+def recent(logs: DataFrame, n: int, ts: str = "ts") -> DataFrame:
+    """The n newest; a task sends n rows at most."""
+    return logs.orderBy(F.desc(ts)).limit(n)
+
+
+def counter(points: DataFrame, keys: list[str], value: str, ts: str) -> DataFrame:
+    """keys, increase: what a counter grew by; a value under the one before it is a restart from 0."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    before = F.lag(value).over(w)
+    grown = F.when(before.isNull(), F.lit(0.0)).when(F.col(value) >= before, F.col(value) - before).otherwise(F.col(value))
+    return points.withColumn("_g", grown).groupBy(*keys).agg(F.sum("_g").alias("increase"))
+
+
+def gauge(points: DataFrame, keys: list[str], value: str, ts: str) -> DataFrame:
+    """keys, value: the latest."""
+    return points.groupBy(*keys).agg(F.max_by(value, ts).alias("value"))
+
+
+#: Rules on one metric's value: whether it is met.
+RULES = {
+    "above": lambda v, x: v > x, "below": lambda v, x: v < x, "changes": lambda v, x: F.abs(v) > x,
+    "lag": lambda v, x: v > x, "size": lambda v, x: v > x, "errors": lambda v, x: v > x, "custom": lambda v, x: v > 0,
+}
+
+
+def rule_alerts(samples: DataFrame, rules: list[tuple[str, str, str, float]], ts: str, cooldown_seconds: float = 0) -> DataFrame:
+    """rule, started, value: samples (metric, value) that meet a rule (name, kind, metric, limit) when the sample before
+    didn't, or when the rule last fired `cooldown_seconds` or more ago; one alert a rule is active at a time."""
+    met = F.array(*[F.when((F.col("metric") == m) & RULES[k](F.col("value"), x), F.lit(n)) for n, k, m, x in rules])
+    all_ = F.array(*[F.when(F.col("metric") == m, F.lit(n)) for n, _, m, _ in rules])
+    rows = samples.select(ts, "value", F.explode(F.array_compact(all_)).alias("rule"), met.alias("_met")).withColumn("_on", F.array_contains(F.array_compact("_met"), F.col("rule")))
+    w = Window.partitionBy("rule").orderBy(ts)
+    begun = rows.withColumn("_was", F.coalesce(F.lag("_on").over(w), F.lit(False))).where("_on AND NOT _was")
+    last = F.lag(ts).over(w)
+    quiet = F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(last.cast("timestamp")) >= cooldown_seconds
+    return begun.withColumn("_quiet", F.coalesce(quiet, F.lit(True))).where("_quiet").select("rule", F.col(ts).alias("started"), "value")
+
+
 def moving_average(df: DataFrame, key: str, order: list[str], value: str, window: int) -> DataFrame:
     """Adds `average` of a row's value and the window - 1 before it."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(-(window - 1), 0)

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,13 @@ def insert_field(name: str, value) -> Step:
     return lambda df: df.withColumn(name, value if isinstance(value, Column) else F.lit(value))
 
 
+def insert_filled(name: str, template: str, **columns: str) -> Step:
+    """A field from a text with ${name} places, which stand for columns: ${timestamp}, ${topic} and others given."""
+    places = {"timestamp": "timestamp", "topic": "topic"} | columns
+    parts = re.split(r"\$\{(\w+)\}", template)
+    return insert_field(name, F.concat(*[F.col(places[p]).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts) if p]))
+
+
 def replace_field(include: list[str] | None = None, exclude: list[str] = (), rename: dict[str, str] | None = None) -> Step:
     """Include, then exclude, then rename."""
 
@@ -96,6 +103,116 @@ def debezium(df: DataFrame, value: str, row: str) -> DataFrame:
     return df.withColumn("_e", F.from_json(value, f"before struct<{row}>, after struct<{row}>, op string, ts_ms long")).select(*[c for c in df.columns if c != value], "_e.*")
 
 
+def to_envelope(df: DataFrame, before: str | None, after: str | None, op: str, ts: str, name: str = "value") -> DataFrame:
+    """Adds the change envelope in JSON that debezium() reads: images (struct columns), op and milliseconds."""
+    none = F.lit(None).cast("string")
+    image = lambda c: F.col(c) if c else none
+    held = F.struct(image(before).alias("before"), image(after).alias("after"), F.col(op).alias("op"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ts_ms"))
+    return df.withColumn(name, F.to_json(held))
+
+
+#: Converters of a column to bytes and back: JSON (with an envelope if asked), text, and bytes as base64.
+CONVERTERS = {
+    "json": (lambda c: F.to_json(c).cast("binary"), lambda c, kind: F.from_json(c.cast("string"), kind)),
+    "json_envelope": (lambda c: F.to_json(F.struct(F.lit(None).cast("string").alias("schema"), c.alias("payload"))).cast("binary"), lambda c, kind: F.from_json(c.cast("string"), f"payload {kind}")["payload"]),
+    "string": (lambda c: c.cast("string").cast("binary"), lambda c, kind: c.cast("string").cast(kind)),
+    "bytes": (lambda c: F.base64(c.cast("binary")).cast("binary"), lambda c, kind: F.unbase64(c.cast("string")).cast(kind)),
+}
+
+
+def convert(column: str, how: str) -> Step:
+    return lambda df: df.withColumn(column, CONVERTERS[how][0](F.col(column)))
+
+
+def convert_back(column: str, how: str, kind: str) -> Step:
+    return lambda df: df.withColumn(column, CONVERTERS[how][1](F.col(column), kind))
+
+
+def cast_to(**kinds: str) -> Step:
+    """Columns in other types; null where a value doesn't fit."""
+    return lambda df: df.withColumns({c: F.col(c).try_cast(k) for c, k in kinds.items()})
+
+
+def mask_ends(column: str, start: int = 0, end: int = 0, sign: str = "*") -> Step:
+    """Shows that many characters at either end, and the sign for each other one."""
+    c, n = F.col(column), F.greatest(F.length(column) - start - end, F.lit(0))
+    return lambda df: df.withColumn(column, F.when(F.length(column) <= start + end, c).otherwise(F.concat(F.substring(c, 1, start), F.repeat(F.lit(sign), n), F.right(c, F.lit(end)) if end else F.lit(""))))
+
+
+def shift_time(column: str, milliseconds: int) -> Step:
+    return lambda df: df.withColumn(column, F.col(column) + F.make_dt_interval(secs=F.lit(milliseconds / 1000)))
+
+
+def fill_template(column: str, template: str, value: str = "value") -> Step:
+    """A text with {{field}} places, filled from the JSON of a column; a missing field is empty."""
+    parts = re.split(r"\{\{\s*([\w.]+)\s*\}\}", template)
+    made = [F.coalesce(F.get_json_object(value, f"$.{p}"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts) if p or i % 2]
+    return lambda df: df.withColumn(column, F.concat(*made))
+
+
+def csv_to_json(column: str, schema: str) -> Step:
+    return lambda df: df.withColumn(column, F.to_json(F.from_csv(F.col(column), schema)))
+
+
+def deduplicate(*keys: str) -> Step:
+    return lambda df: df.dropDuplicates(list(keys))
+
+
+def limit_rate(key: str, ts: str, most: int, seconds: int) -> Step:
+    """The first `most` rows of each key in each period; a task keeps no more before the shuffle."""
+
+    def run(df: DataFrame) -> DataFrame:
+        period = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
+        w = Window.partitionBy(key, "_period").orderBy(ts)
+        return df.withColumn("_period", period).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_period", "_n")
+
+    return run
+
+
+#: Steps by name, for chains given as data: (name, options).
+STEPS = {
+    "field-filter": lambda condition: keep_where(F.expr(condition)), "field-rename": lambda **names: replace_field(rename=names), "field-router": lambda column, pattern, to: route_regex(column, pattern, to),
+    "pii-redactor": lambda columns, how="redact": mask(*columns, how=how), "json-filter": lambda **o: json_filter(**o), "csv-to-json": lambda **o: csv_to_json(**o), "deduplicator": lambda keys: deduplicate(*keys),
+    "rate-limiter": lambda **o: limit_rate(**o), "timestamp-enricher": lambda name="processed_at": insert_field(name, F.current_timestamp()), "schema-validator": lambda column, schema: keep_where(F.from_json(F.col(column), schema, {"mode": "PERMISSIVE"}).isNotNull()),
+    "cast": lambda **kinds: cast_to(**kinds), "drop": lambda columns: replace_field(exclude=columns), "shift-time": lambda **o: shift_time(**o), "template": lambda **o: fill_template(**o),
+}
+
+
+def declared(df: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
+    return chain(df, *[STEPS[name](**options) for name, options in steps])
+
+
+def guarded(df: DataFrame, *steps: tuple[str, Column, Step]) -> tuple[DataFrame, DataFrame]:
+    """Steps (name, condition that a row must meet, step): rows that meet every condition come out changed; the others
+    leave before the step that they fail, with its name as dlq_reason, and go on to no later one."""
+    out, failed = df, None
+    for name, ok, step in steps:
+        good = F.coalesce(ok, F.lit(False))
+        bad = out.where(~good).withColumn("dlq_reason", F.lit(name))
+        failed = bad if failed is None else failed.unionByName(bad, allowMissingColumns=True)
+        out = step(out.where(good))
+    return out, failed
+
+
+def record_function(df: DataFrame, call: Callable[[dict], dict | list[dict] | None], schema: str) -> DataFrame:
+    """A function of one record: a record, several, or none of them (dropped); a `topic` field routes. Batches go through
+    Python as Arrow."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                got = call(row)
+                out += got if isinstance(got, list) else [got] if got is not None else []
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    return df.mapInArrow(run, schema)
+
+
 def _json(value: str, one: Callable[[dict], dict]) -> Step:
     """Edits JSON objects; text that is no object becomes null, for dead_letters() to find."""
 

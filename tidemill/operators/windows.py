@@ -50,22 +50,45 @@ def sliding_exact(df: DataFrame, ts: str, keys: list[str], **aggs: Column) -> Da
     return df.groupBy(ts, *keys).agg(*[a.alias(n) for n, a in aggs.items()])
 
 
+def groups_frame(df: DataFrame, keys: list[str], order: list[str], before: int, after: int, **aggs: Column) -> DataFrame:
+    """GROUPS BETWEEN before PRECEDING AND after FOLLOWING: frames of whole peer groups, as ranges of the dense rank."""
+    ranked = df.withColumn("_rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy(*order)))
+    w = Window.partitionBy(*keys).orderBy("_rank").rangeBetween(-before, after)
+    return ranked.withColumns({n: a.over(w) for n, a in aggs.items()}).drop("_rank")
+
+
+def whole(df: DataFrame, keys: list[str], **aggs: Column) -> DataFrame:
+    """The global window: one for each key, over all its rows."""
+    return df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
+
+
 def capped_session(df: DataFrame, ts: str, gap_seconds: float, longest_seconds: float, key: str) -> DataFrame:
     """Sessions that also close when they would last longer than `longest_seconds`: key, session, start, end, events.
 
-    The cut depends on where the session began, which no window function can carry; each key is read in order.
+    A gap ends a session whatever came before it, so window functions cut a key's rows at its gaps. Where a session is cut
+    for its length depends on where it began; only the rows between two gaps are read in order for that.
     """
+    w = Window.partitionBy(key).orderBy(ts)
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
+    new = F.when(t - F.lag(t).over(w) > int(gap_seconds * 1_000_000), 1).otherwise(0)
+    parts = df.select(key, ts, new.alias("_new")).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         t = rows[ts].sort_values().to_numpy()
         out, begin, last, n = [], t[0], t[0], 0
         for x in t:
-            if (x - last) / pd.Timedelta(seconds=1) > gap_seconds or (x - begin) / pd.Timedelta(seconds=1) > longest_seconds:
+            if (x - begin) / pd.Timedelta(seconds=1) > longest_seconds:
                 out.append((begin, last, n))
                 begin, n = x, 0
             last, n = x, n + 1
         out.append((begin, last, n))
-        return pd.DataFrame({key: rows[key].iloc[0], "session": range(len(out)), "window_start": [o[0] for o in out], "window_end": [o[1] for o in out], "events": [o[2] for o in out]})
+        return pd.DataFrame({key: rows[key].iloc[0], "window_start": [o[0] for o in out], "window_end": [o[1] for o in out], "events": [o[2] for o in out]})
 
     kind = dict(df.dtypes)
-    return df.select(key, ts).groupBy(key).applyInPandas(cut, f"{key} {kind[key]}, session long, window_start {kind[ts]}, window_end {kind[ts]}, events long")
+    spans = parts.groupBy(key, "_part").agg(F.min(ts).alias("window_start"), F.max(ts).alias("window_end"), F.count("*").alias("events"))
+    long = F.unix_micros(F.col("window_end").cast("timestamp")) - F.unix_micros(F.col("window_start").cast("timestamp")) > int(longest_seconds * 1_000_000)
+    over = parts.join(spans.where(long).select(key, "_part"), [key, "_part"], "left_semi")
+    got = over.groupBy(key, "_part").applyInPandas(cut, f"{key} {kind[key]}, window_start {kind[ts]}, window_end {kind[ts]}, events long")
+    got = got.unionByName(spans.where(~long).drop("_part"))
+    number = (F.row_number().over(Window.partitionBy(key).orderBy("window_start")) - 1).cast("long")
+    return got.select(key, number.alias("session"), "window_start", "window_end", "events")

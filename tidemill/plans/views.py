@@ -96,3 +96,28 @@ def apply_deltas(state: DataFrame, changes: DataFrame, keys: list[str], value: s
     delta = changes.groupBy(*keys).agg(F.sum(sign).alias("n"), F.sum(F.col(value) * F.col(sign)).alias("total"))
     both = state.select(*keys, "n", "total").unionByName(delta)
     return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where("n > 0")
+
+
+def counted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, n: how often each value occurs, from which every aggregate follows after deletes too."""
+    return df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+
+
+def apply_value_deltas(state: DataFrame, changes: DataFrame, keys: list[str], value: str, sign: str = "sign") -> DataFrame:
+    """counted_values() after changes with sign 1 or -1; values that no row has any more go."""
+    delta = changes.groupBy(*keys, value).agg(F.sum(sign).alias("n"))
+    return state.select(*keys, value, "n").unionByName(delta).groupBy(*keys, value).agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def summed(state: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, total, mean, least, most of a state of counted values."""
+    n, x = F.col("n"), F.col(value)
+    return state.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(n * x).alias("total"), (F.sum(n * x) / F.sum(n)).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"))
+
+
+def change_feed(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, change, and the columns after it (before it for deletes): what a refresh of a view did to its rows."""
+    rest = [c for c in after.columns if c not in keys]
+    a, b = before.select(*keys, F.struct(*rest).alias("_a")), after.select(*keys, F.struct(*rest).alias("_b"))
+    change = F.when(F.col("_a").isNull(), "insert").when(F.col("_b").isNull(), "delete").when(~F.col("_a").eqNullSafe(F.col("_b")), "update")
+    return a.join(b, keys, "full").withColumn("change", change).where("change IS NOT NULL").select(*keys, "change", F.coalesce("_b", "_a").alias("_r")).select(*keys, "change", "_r.*")

@@ -162,11 +162,6 @@ def _(spark, d):
     return events(spark, d).groupBy("event_type").agg(*[c.alias(n) for n, c in agg.cumulative_buckets(F.col("value"), [10, 50, 100]).items()])
 
 
-@query("hll_distinct")
-def _(spark, d):
-    return events(spark, d).groupBy("event_type").agg(agg.distinct_sketch(F.col("user_id")).alias("users"))
-
-
 @query("summary_stats", "SELECT event_type, count(value) AS n, round(sum(value), 3) AS s, round(avg(value), 6) AS m, min(value) AS lo, max(value) AS hi, round(stddev_pop(value), 6) AS sd FROM events GROUP BY 1")
 def _(spark, d):
     v = F.col("value")
@@ -279,11 +274,6 @@ def _(spark, d):
     return windows.sliding_exact(events(spark, d), "ts", ["event_type"], n=F.count("*"))
 
 
-@query("window_capped_session")
-def _(spark, d):
-    return windows.capped_session(events(spark, d), "ts", 4 * 3600, 12 * 3600, "user_id")
-
-
 # --- series
 @query("downsample", "SELECT event_type, time_bucket(INTERVAL '6 hours', ts) AS bucket, round(avg(value), 6) AS value_avg, max(value) AS value_max, arg_max(value, ts) AS value_last FROM events GROUP BY 1, 2")
 def _(spark, d):
@@ -474,11 +464,6 @@ def purchase_path(d_frame):
     return cep.Pattern().begin("signup", t == "signup").not_followed_by("error", t == "error").followed_by("buy", (t == "purchase") & (F.col("value") > 20)).within(3 * 86_400)
 
 
-@query("cep_pattern")
-def _(spark, d):
-    return cep.match(events(spark, d), purchase_path(None), "user_id", "ts", "event_id")
-
-
 @query("cep_strict", "SELECT user_id, ts AS match_start, n AS match_end FROM (SELECT *, lead(event_type) OVER w AS e2, lead(ts) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = 'view' AND e2 = 'click'")
 def _(spark, d):
     t = F.col("event_type")
@@ -496,42 +481,15 @@ def _(spark, d):
     return anomaly.iqr(events(spark, d), "user_id", ["ts"], "value").select("event_id", "q1", "q3", "is_anomaly")
 
 
-@query("ema")
-def _(spark, d):
-    return anomaly.ema(events(spark, d).select("event_id", "user_id", "ts", "value"), "user_id", ["ts"], "value").select("event_id", "ema", "is_anomaly")
-
-
-@query("local_outliers")
-def _(spark, d):
-    return anomaly.local_outliers(events(spark, d).select("event_id", "user_id", "ts", "value"), "user_id", ["ts"], "value").select("event_id", "lof", "is_anomaly")
-
-
-@query("holt_forecast")
-def _(spark, d):
-    return anomaly.holt(events(spark, d).select("event_id", "user_id", "ts", "value"), "user_id", ["ts"], "value").select("event_id", "forecast")
-
-
 @query("trend", "SELECT user_id, round(regr_slope(value, x), 6) AS slope, CASE WHEN regr_slope(value, x) / abs(avg(value)) > 0.01 THEN 'up' WHEN regr_slope(value, x) / abs(avg(value)) < -0.01 THEN 'down' ELSE 'flat' END AS direction FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts)::DOUBLE AS x FROM events) GROUP BY 1")
 def _(spark, d):
     return anomaly.trend(events(spark, d), "user_id", ["ts"], "value").withColumn("slope", F.round("slope", 6))
 
 
-@query("seasons")
-def _(spark, d):
-    return anomaly.seasons(events(spark, d).select("event_type", "ts", "value"), "event_type", ["ts"], "value", least=0.01)
-
-
 # --- vectors and text
 COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-@query("knn", f"SELECT query_id, id, round(s, 6) AS similarity, CAST(r AS INTEGER) AS rank FROM (SELECT b.vec_id AS query_id, a.vec_id AS id, {COS} AS s, row_number() OVER (PARTITION BY b.vec_id ORDER BY {COS} DESC, a.vec_id) AS r FROM embeddings a, embeddings b WHERE b.vec_id < 10) WHERE r <= 5")
-def _(spark, d):
-    v = table(spark, d, "embeddings")
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the stated query set
-    return vector.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 5).withColumn("similarity", F.round("similarity", 6))
-
-
 @query("vector_norms", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS n FROM embeddings")
 def _(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(vector.norm(F.col("embedding")), 5).alias("n"))
@@ -565,16 +523,6 @@ def _(spark, d):
     return vector.chunk_fixed(table(spark, d, "documents"), "doc_id", "text", 500, 50)
 
 
-@query("chunk_sentences")
-def _(spark, d):
-    return vector.chunk_sentences(table(spark, d, "documents"), "doc_id", "text")
-
-
-@query("semantic_route")
-def _(spark, d):
-    return vector.route(table(spark, d, "documents"), "doc_id", "text", {"abuse": ["idiot", "trash", "scum"], "english": ["the", "of", "and"], "german": ["der", "die", "und"]}, 0.5)
-
-
 @query("token_frequency", "SELECT w AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY 1 ORDER BY n DESC, w LIMIT 25")
 def _(spark, d):
     t = table(spark, d, "documents").select(F.explode(vector.tokens(F.col("text"))).alias("token"))
@@ -665,10 +613,10 @@ def _(spark, d):
     return knn_in_cells(spark, d, CELLS)
 
 
-@query("knn_stated_set", KNN)
+@query("knn", KNN)
 def _(spark, d):
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the stated query set
     return vector.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 5).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -684,17 +632,10 @@ def _(spark, d):
     return e.select("doc_id", F.aggregate("e", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double")).alias("total"))
 
 
-@query("similarity_subscription", f"SELECT a.vec_id AS id, b.vec_id AS subscription, round({COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id < 5 AND {COS} >= 0.3")
+@query("similarity_subscription", f"SELECT a.vec_id AS id, b.vec_id AS subscription, round({COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 AND {COS} >= 0.3")
 def _(spark, d):
     v = table(spark, d, "embeddings")
-    standing = v.where("vec_id < 5").select(F.col("vec_id").alias("subscription"), F.col("embedding").alias("query"))  # the stated query set
-    return embedding.subscribe(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), standing, 0.3).withColumn("similarity", F.round("similarity", 6))
-
-
-@query("subscription_stated_set", f"SELECT a.vec_id AS id, b.vec_id AS subscription, round({COS}, 6) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 20 = 0 AND {COS} >= 0.3")
-def _(spark, d):
-    v = table(spark, d, "embeddings")
-    standing = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("subscription"), F.col("embedding").alias("query"))
+    standing = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("subscription"), F.col("embedding").alias("query"))  # the stated query set
     return embedding.subscribe(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), standing, 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -759,11 +700,6 @@ def _(spark, d):
     return spark.createDataFrame([(i, round(c, 2)) for i, c in enumerate(line)], "power int, coefficient double")
 
 
-@query("ewma")
-def _(spark, d):
-    return anomaly.ewma(events(spark, d), "user_id", ["ts"], "value").select("event_id", F.round("deviation", 6).alias("deviation"), "is_anomaly")
-
-
 # --- records
 @query("json_edit", "SELECT event_id, '{\"key\":' || json_extract_string(props, '$.k') || ',\"v\":\"1\"}' AS props FROM events")
 def _(spark, d):
@@ -839,3 +775,6 @@ def _(spark, d):
 @query("alert_runs", "WITH g AS (SELECT *, sum(CASE WHEN value > 20 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM events) SELECT user_id, min(ts) AS started, min(ts) + INTERVAL '1 hour' AS fired, max(ts) AS ended FROM g WHERE value > 20 GROUP BY user_id, k HAVING max(ts) - min(ts) >= INTERVAL '1 hour'")
 def _(spark, d):
     return runs.alerts(events(spark, d), "value", 20, "user_id", "ts", 3600)
+
+
+from . import queries_more  # noqa: E402, F401

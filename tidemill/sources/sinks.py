@@ -18,6 +18,33 @@ def partitioned(df: DataFrame, path: str, ts: str, period: str, mode: str = "app
     df.withColumn("period", key).hint("rebalance", "period").write.mode(mode).option("compression", "zstd").partitionBy("period").parquet(path)
 
 
+def segments(df: DataFrame, path: str, row_group_bytes: int = 64 << 20, codec: str = "zstd", dictionary: bool = True, bloom: tuple[str, ...] = (), mode: str = "append") -> None:
+    """Parquet with its row-group size, codec, dictionaries, and bloom filters of the columns named; statistics are
+    always there."""
+    out = df.write.mode(mode).option("compression", codec).option("parquet.block.size", row_group_bytes).option("parquet.enable.dictionary", str(dictionary).lower())
+    for c in bloom:
+        out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    out.parquet(path)
+
+
+def topic_store(df: DataFrame, path: str, codec: str = "snappy", mode: str = "append") -> None:
+    """Records in a folder for each topic and partition."""
+    df.hint("rebalance", "topic", "partition").write.mode(mode).option("compression", codec).partitionBy("topic", "partition").parquet(path)
+
+
+def otlp_points(df: DataFrame, name: str, value: str, labels: list[str], ts: str) -> DataFrame:
+    """One gauge point a row, as an OTLP JSON metric."""
+    attributes = F.array(*[F.struct(F.lit(x).alias("key"), F.struct(F.col(x).cast("string").alias("stringValue")).alias("value")) for x in labels])
+    nanos = (F.unix_micros(F.col(ts).cast("timestamp")) * 1000).cast("string")
+    point = F.struct(nanos.alias("timeUnixNano"), F.col(value).cast("double").alias("asDouble"), attributes.alias("attributes"))
+    return df.select(F.to_json(F.struct(F.lit(name).alias("name"), F.struct(F.array(point).alias("dataPoints")).alias("gauge"))).alias("line"))
+
+
+def json_points(df: DataFrame, name: str, value: str, labels: list[str], ts: str) -> DataFrame:
+    held = F.struct(F.lit(name).alias("name"), F.col(value).alias("value"), F.struct(*labels).alias("labels"), F.unix_millis(F.col(ts).cast("timestamp")).alias("timestamp"))
+    return df.select(F.to_json(held).alias("line"))
+
+
 def export(df: DataFrame, path: str, form: str, mode: str = "overwrite") -> None:
     if form not in ("parquet", "json", "csv", "orc"):
         raise ValueError(f"no format {form}")

@@ -49,9 +49,22 @@ def search(df: DataFrame, text: str, limit: int = 100) -> DataFrame:
     return df.where(F.contains(F.lower("value"), F.lit(text.lower()))).orderBy("offset").limit(min(max(limit, 1), 1000))
 
 
-def sample(df: DataFrame, percent: float, seed: int = 0) -> DataFrame:
-    """Each record with a chance of `percent` in a hundred; the same ones for a seed and an input's partitions."""
-    return df.sample(fraction=percent / 100, seed=seed)
+def sample(df: DataFrame, percent: float, seed: int = 0, by: str = "offset") -> DataFrame:
+    """Each record with a chance of `percent` in a hundred, by a hash of a column and the seed: the same ones whatever the
+    partitions are."""
+    return df.where(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(by).cast("string"))), 1, 8), 16, 10).cast("long") % 10_000 < percent * 100)
+
+
+def first(df: DataFrame, n: int) -> DataFrame:
+    return df.orderBy("partition", "offset").limit(n)
+
+
+#: Named projections of a log, after which only these columns are read.
+PROJECTIONS = {"all": ("offset", "timestamp", "key", "value", "headers"), "metadata_only": ("offset", "timestamp"), "minimal": ("offset", "timestamp", "value")}
+
+
+def project(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*[c for c in PROJECTIONS[name] if c in df.columns])
 
 
 def stats(df: DataFrame, start, end, seconds: float) -> DataFrame:
@@ -59,9 +72,10 @@ def stats(df: DataFrame, start, end, seconds: float) -> DataFrame:
     return n.withColumn("rate", F.col("messages") / seconds)
 
 
-def columnar(spark: SparkSession, path: str, start, end, columns: list[str], ts: str = "timestamp") -> DataFrame:
+def columnar(spark: SparkSession, path: str, start, end, columns: list[str], ts: str = "timestamp", limit: int | None = None) -> DataFrame:
     """Projection and an inclusive time range, both of which reach the Parquet scan."""
-    return spark.read.parquet(path).where(F.col(ts).between(F.lit(start), F.lit(end))).select(*columns)
+    rows = spark.read.parquet(path).where(F.col(ts).between(F.lit(start), F.lit(end))).select(*columns)
+    return rows if limit is None else rows.orderBy(columns[0]).limit(limit)
 
 
 #: Seconds of the units in relative times.

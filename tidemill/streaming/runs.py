@@ -35,7 +35,7 @@ def distinct(stream: DataFrame, ts: str, delay: str, keys: list[str]) -> DataFra
 def interval_join(left: DataFrame, right: DataFrame, key: tuple[str, str], lt: str, rt: str, delay: str, seconds: float, how: str = "inner") -> DataFrame:
     """Both sides watermarked and bound in time, so that state ends."""
     a, b = left.withWatermark(lt, delay), right.withWatermark(rt, delay)
-    span = F.make_dt_interval(secs=F.lit(seconds))
+    span = F.expr(f"INTERVAL '{seconds}' SECOND")  # a literal, so that the planner finds when state may go
     return a.join(b, (a[key[0]] == b[key[1]]) & (F.col(lt) >= F.col(rt) - span) & (F.col(lt) <= F.col(rt) + span), how)
 
 
@@ -95,6 +95,72 @@ def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, total double, n long", "total double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
+def features(stream: DataFrame, entity: str, value: str, ts: str) -> DataFrame:
+    """entity and n, total, mean, least, most, first, last, distinct of its values so far; partial sums combine before the
+    shuffle, and the state is one row an entity."""
+    v = F.col(value)
+    return stream.groupBy(entity).agg(
+        F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"),
+        F.min_by(v, ts).alias("first"), F.max_by(v, ts).alias("last"), F.size(F.collect_set(v)).alias("distinct"),
+    )
+
+
+#: Triggers by name, as options of DataStreamWriter.trigger: what is there now, at a pace, or rows as they come.
+TRIGGERS = {"now": lambda _: {"availableNow": True}, "processing_time": lambda s: {"processingTime": f"{s} seconds"}, "continuous": lambda s: {"continuous": f"{s} seconds"}}
+
+
+def started(stream: DataFrame, put, checkpoint: str, trigger: str = "now", seconds: float = 1, mode: str = "append") -> StreamingQuery:
+    """Runs a stream into put(batch, number). Modes: append emits final results only, update early ones too."""
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**TRIGGERS[trigger](seconds)).foreachBatch(put).start()
+
+
+def timed(stream: DataFrame, sense: str, ts: str | None = None) -> DataFrame:
+    """Adds `at`: the event's own time, the time it is processed, or the time its log took it in."""
+    at = {"event": lambda: F.col(ts), "processing": F.current_timestamp, "ingestion": lambda: F.col(ts or "timestamp")}[sense]()
+    return stream.withColumn("at", at.cast("timestamp"))
+
+
+def watermarked(stream: DataFrame, ts: str, strategy: str = "bounded", delay: str = "5 seconds", mark: Column | None = None) -> DataFrame:
+    """none, periodic (no delay), bounded (a delay), or punctuated: only rows that meet `mark` move the watermark, as the
+    others' times count as the earliest. Several inputs go on by the least of their marks."""
+    if strategy == "none":
+        return stream
+    if strategy == "punctuated":
+        return stream.withColumn("mark_time", F.when(mark, F.col(ts)).otherwise(F.timestamp_seconds(F.lit(0)))).withWatermark("mark_time", delay)
+    return stream.withWatermark(ts, "0 seconds" if strategy == "periodic" else delay)
+
+
+class KeyState:
+    """Values by namespace and key on shared storage: put, get, delete, scan; checkpoint gives a number to restore."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        from ..sources.lake import Lake
+
+        self.spark, self.lake = spark, Lake(spark, root)
+        if not self.lake.versions():
+            self.lake.overwrite(spark.createDataFrame([], "namespace string, key string, value string"))
+
+    def put(self, rows: DataFrame) -> int:
+        """rows: namespace, key, value; each takes the place of the one before it."""
+        return self.lake.merge(rows.select("namespace", "key", "value"), ["namespace", "key"])
+
+    def delete(self, rows: DataFrame) -> int:
+        return self.lake.overwrite(self.lake.read().join(rows.select("namespace", "key"), ["namespace", "key"], "left_anti"))
+
+    def scan(self, namespace: str, prefix: str = "") -> DataFrame:
+        return self.lake.read().where((F.col("namespace") == namespace) & F.startswith("key", F.lit(prefix)))
+
+    def get(self, namespace: str, key: str) -> str | None:
+        row = self.scan(namespace).where(F.col("key") == key).first()
+        return row["value"] if row else None
+
+    def checkpoint(self) -> int:
+        return self.lake.versions()[-1]["version"]
+
+    def restore(self, version: int) -> int:
+        return self.lake.overwrite(self.lake.read(version=version))
+
+
 class Continuous:
     """Running queries by name: submit, list, stats, cancel."""
 
