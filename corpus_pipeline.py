@@ -6,6 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import mixing, near_dedup, packing, suffix_dedup, toxicity
 from tidemill.llm.common import documents, scratch_path
+from tidemill.session import MADE, discard
+
+#: Scratch tables of the stage that ran last.
+_held: list[str] = []
+
+
+def staged(stage):
+    """A stage's result is written before the next stage begins, so what the last one left in the shared folder goes then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _held)
+        first = len(MADE)
+        out = stage(spark, docs, sf_dir)
+        _held[:] = MADE[first:]
+        return out
+
+    return run
+
 
 #: The pipeline's results come from a classifier, a tokenizer and hashes, which SQL can't express.
 ORACLE_SQL = None
@@ -39,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_copies), ("suffix_dedup", drop_repeats), ("mixing", mix), ("packing", pack)]
+STAGES = [("toxicity", staged(drop_toxic)), ("near_dedup", staged(drop_near_copies)), ("suffix_dedup", staged(drop_repeats)), ("mixing", staged(mix)), ("packing", staged(pack))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

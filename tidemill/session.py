@@ -43,9 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
+#: Paths that scratch_path has given, for callers that know when they are done with.
+MADE: list[str] = []
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    MADE.append(path)
     return path
