@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, text_bytes
+from .common import partitions, scratch, text_bytes, trim
 from .components import components
 from .shingles import shingles
 
@@ -68,6 +68,8 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 ],
                 names,
             )
+            del sets
+            trim()
 
     return scratch(docs.mapInArrow(of, "id long, n_shingles long, digest binary, signature binary"), "sketches")
 
@@ -119,6 +121,7 @@ def buckets(reps: DataFrame) -> DataFrame:
             for i in range(0, len(nodes), 2_000):
                 k = keys(signs[i : i + 2_000]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(nodes[i : i + 2_000], SIGNATURE))], ["key", "node"])
+        trim()
 
     rows = reps.select("node", "signature").mapInArrow(expand, "key long, node long")
     key = Window.partitionBy("key")
@@ -163,6 +166,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
                     if 100 * both >= percent * (len(own) + len(held) - both):
                         out.append((node, of))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        trim()
 
     return scratch(rows.select("lead", "node", "block", "set").mapInArrow(test, "a long, b long"), "links")
 
@@ -280,6 +284,7 @@ def settled(ahead: DataFrame, pairs: DataFrame, of: DataFrame, sets, reps: DataF
             if side is None or len(np.unique(side)) > 1:
                 found = linked([np.frombuffer(s, np.uint64) for s in rows.column("set").to_pylist()], signatures(rows.column("signature")), homes, side, percent, fewest)
             yield pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        trim()
 
     return scratch(every.select(*group, "side", "home", "node", "signature", "set").mapInArrow(compare, "a long, b long"), "links")
 
@@ -326,6 +331,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, block: i
                     if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:  # a doc_id may come with other texts too
                         out.append((node, s.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["node", "set"])
+            trim()
 
         return scratch(rows.join(wanted, "id").select("node", "digest", "raw").mapInArrow(of, "node long, set binary").dropDuplicates(["node"]), "sets")
 

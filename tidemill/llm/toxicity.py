@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, text_bytes
+from .common import scratch, text_bytes, trim
 from .shingles import ODD, STEPS, TABLE, mix
 
 #: Terms that name groups of people; a term is swapped for others of its line.
@@ -160,6 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 6_000, least_gain: float
             flat, at = distinct([t for ts in changed for t in ts]), np.cumsum([0, *map(len, changed)])
             other = [flat[i:j] for i, j in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "own", "other"])
+            del raws, own, changed, flat, other
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("raw")).join(F.broadcast(sample), "doc_id")  # at most 2 * each ids
     held = scratch(rows.select("doc_id", "toxic", "raw").mapInArrow(of, "doc_id long, toxic int, own array<int>, other array<array<int>>"), "tox-features")
@@ -203,7 +205,9 @@ def score(model: Model, raw: Column) -> Column:
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(sent.scores(texts.tolist()), dtype=float)
+        found = sent.scores(texts.tolist())
+        trim()
+        return pd.Series(found, dtype=float)
 
     return of(raw)
 
