@@ -17,6 +17,7 @@ def staged(stage):
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         discard(spark, _held)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")  # documents are long; batches take less memory
         first = len(MADE)
         out = stage(spark, docs, sf_dir)
         _held[:] = MADE[first:]
