@@ -663,3 +663,9 @@ def test_tokenizers_with_other_patterns_are_encoded_whole(tmp_path):
     assert not e.cuts and tokens.Encoder(tokens.default_path()).cuts
     for t in ("some of the words", " a b ", ""):
         assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == e.lib.encode(t, add_special_tokens=False).ids
+
+
+def test_op7_texts_that_show_nothing_stay(spark):
+    docs = spark.createDataFrame([(i, f"word{i} other{i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.clean(docs, labels).count() == 20

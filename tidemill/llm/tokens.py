@@ -114,10 +114,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each worker process, kept between its tasks."""
+def encoder(path: str, limit: int = 800_000) -> Encoder:
+    """One encoder for each worker process, kept between its tasks; limit: of the pieces whose ids it keeps."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].limit = limit
     return _encoders[path]
 
 

@@ -221,6 +221,8 @@ def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, **options) -> Dat
 
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all their columns; null and empty texts stay."""
+    """The documents that the classifier doesn't reject, with all their columns. Null and empty texts stay, and so do texts
+    that show nothing: a text is rejected if its own features bring its score to 0.5 or more."""
     model = fit(docs, labels, **options)
-    return docs.where((F.octet_length(text_bytes()) == 0) | (score(model, text_bytes()) < 0.5))
+    found, bare = score(model, text_bytes()), float(model.scores([b""])[0])
+    return docs.withColumn("_toxicity", found).where((F.octet_length(text_bytes()) == 0) | (F.col("_toxicity") < 0.5) | (F.col("_toxicity") <= bare)).select(*docs.columns)
