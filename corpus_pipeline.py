@@ -17,7 +17,7 @@ def staged(stage):
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         discard(spark, _held)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")  # documents are long; batches take less memory
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # documents are long; small batches take less memory
         first = len(MADE)
         out = stage(spark, docs, sf_dir)
         _held[:] = MADE[first:]
@@ -55,7 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequence and place."""
-    return packing.packed(docs)
+    return packing.packed(docs, pieces_kept=200_000)
 
 
 STAGES = [("toxicity", staged(drop_toxic)), ("near_dedup", staged(drop_near_copies)), ("suffix_dedup", staged(drop_repeats)), ("mixing", staged(mix)), ("packing", staged(pack))]
