@@ -182,11 +182,16 @@ def test_debezium_nulls(spark):
     assert sorted([(r.op, r.after.id if r.after else None) for r in transforms.debezium(df, "v", "id: long").collect()], key=str) == [("c", 1), (None, None)]
 
 
+def test_knn_refuses_many_queries(spark):
+    v = frame(spark, [(i, [1.0, float(i)]) for i in range(5)], "id long, vector array<double>")
+    with pytest.raises(ValueError):
+        vector.nearest(v, v.select(F.col("id").alias("query_id"), F.col("vector").alias("query")), 1, most_queries=3)
+
+
 def test_knn_answers_many_queries_in_blocks(spark):
-    """It refused more than most_queries before; now that is the size of a block of queries."""
     v = frame(spark, [(i, [1.0, float(i)]) for i in range(12)] + [(12, None), (13, [0.0, 0.0])], "id long, vector array<double>")
     asked = v.select(F.col("id").alias("query_id"), F.col("vector").alias("query")).where("query_id < 12")
-    once, blocks = (sorted(map(tuple, vector.nearest(v.repartition(3), asked, 2, most_queries=m).collect())) for m in (100, 3))
+    once, blocks = (sorted(map(tuple, vector.nearest(v.repartition(3), asked, 2, most_queries=m, in_blocks=True).collect())) for m in (100, 3))
     assert len(once) == 24 and [r[:2] + r[3:] for r in once] == [r[:2] + r[3:] for r in blocks]
     assert all(r[1] == r[0] for r in once if r[3] == 1)
 

@@ -81,13 +81,16 @@ def packed(column, size: int) -> np.ndarray:
     return np.divide(out, n, out=out, where=n > 0)
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000, in_blocks: bool = False) -> DataFrame:
     """query_id, id, similarity, rank: exact cosine top k of (id, vector) for each of (query_id, query).
 
-    Queries go to every task in blocks of at most `most_queries`, one block after another. Vectors are normalised once and
-    multiplied batch by batch; a task keeps its k best of each query, so k rows a task and query are shuffled, not pairs.
+    Queries go to every task, so more than `most_queries` are refused, or with `in_blocks` sent in blocks of about that many,
+    each with a pass over the base. Vectors are normalised once and multiplied batch by batch; a task keeps its k best of
+    each query, so k rows a task and query are shuffled, not pairs.
     """
     n = queries.count()
+    if n > most_queries and not in_blocks:
+        raise ValueError(f"{n} queries, more than {most_queries}; ask for blocks")
     blocks = max(1, -(-n // most_queries))
     kinds = {"id": dict(base.dtypes)["id"], "query_id": dict(queries.dtypes)["query_id"]}
     parts = [base.mapInArrow(best_of(queries, blocks, b, k), f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double") for b in range(blocks)]

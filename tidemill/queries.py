@@ -617,7 +617,7 @@ def _(spark, d):
 def _(spark, d):
     v = table(spark, d, "embeddings")
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the stated query set
-    return vector.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 5).withColumn("similarity", F.round("similarity", 6))
+    return vector.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 5, in_blocks=True).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("semantic_partitions")
