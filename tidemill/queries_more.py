@@ -16,7 +16,7 @@ from .plans.dialect import DialectError
 from .plans.views import apply_value_deltas, change_feed, counted_values, summed
 from .queries import BUYS, CLICKS, events, pick, query, sql, table
 from .session import scratch_path as scratch
-from .sources import cdc, connect, lake, sinks, topics
+from .sources import avro, cdc, connect, lake, sinks, topics
 from .streaming import runs
 
 # --- SQL: topics, names, functions with semantics of their own
@@ -794,3 +794,10 @@ def _(spark, d):
     state.restore(held)
     state.delete(spark.createDataFrame([("a", "error")], "namespace string, key string"))
     return state.scan("a").select("key", "value")
+
+
+@query("avro_round_trip", "SELECT event_id, ts, event_type, value FROM events")
+def _(spark, d):
+    path = scratch(spark, "avro")
+    sinks.export(events(spark, d).select("event_id", "ts", "event_type", "value"), path, "avro")
+    return avro.read(spark, path)

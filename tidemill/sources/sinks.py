@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import avro
+
 #: Partition names and how they cut time.
 PERIODS = {"hour": "yyyy-MM-dd-HH", "day": "yyyy-MM-dd", "month": "yyyy-MM"}
 
@@ -46,6 +48,8 @@ def json_points(df: DataFrame, name: str, value: str, labels: list[str], ts: str
 
 
 def export(df: DataFrame, path: str, form: str, mode: str = "overwrite") -> None:
+    if form == "avro":
+        return avro.write(df, path, mode=mode)
     if form not in ("parquet", "json", "csv", "orc"):
         raise ValueError(f"no format {form}")
     (df.write.mode(mode).option("header", "true") if form == "csv" else df.write.mode(mode)).format(form).save(path)
