@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def z_score(df: DataFrame, key: str, order: list[str], value: str, window: int = 100, warm_up: int = 10, threshold: float = 3.0) -> DataFrame:
     """Adds z and is_anomaly, against the window of values before each row."""
@@ -36,37 +40,92 @@ def _by_key(df: DataFrame, key: str, order: list[str], value: str, extra: str, s
     return df.groupBy(key).applyInPandas(run, f"{fields}, {extra}")
 
 
-def ema(df: DataFrame, key: str, order: list[str], value: str, window: int = 20, threshold: float = 3.0, warm_up: int = 10) -> DataFrame:
-    """Exponential mean and variance (alpha 2 / (window + 1)); recursive, so each key is read in order."""
-    alpha = 2 / (window + 1)
+def smoothed(df: DataFrame, key: str, order: list[str], value: str, alpha: float) -> DataFrame:
+    """Adds _i (place in the key, from 0), _before and _var (exponential mean and variance before the row) and _mean (after it).
 
-    def step(x):
-        mean, var, out, odd = x[0] if len(x) else 0.0, 0.0, [], []
-        for i, v in enumerate(x):
-            odd.append(bool(i >= warm_up and var > 0 and abs(v - mean) / var**0.5 > threshold))
-            d = v - mean
-            mean += alpha * d
-            var = (1 - alpha) * (var + alpha * d * d)
-            out.append(mean)
-        return {"ema": out, "is_anomaly": odd}
+    mean' = mean + alpha * d and var' = (1 - alpha) * (var + alpha * d * d) for d = value - mean, from the key's first value
+    and 0. A key may span tasks: rows are dealt to ranges of (key, order), each read once from its own first value; what the
+    range before would have added is linear in its variance and quadratic in the difference c of the means, so it follows
+    from three more sums a row and one row a range. A null or NaN value makes all that follows in its key NaN.
+    """
+    names, spark = df.columns, df.sparkSession
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    extra = ["_part", "_first", "_i", "_before", "_var", "_mean", "_w", "_u", "_end", "_x"]
+    q, of, at = 1 - alpha, names.index(key), names.index(value)
+
+    def local(batches):
+        part = TaskContext.get().partitionId()
+        now, started, opened, i = None, False, True, 0
+        for batch in batches:
+            out = []
+            keys, values = batch.column(of).to_pylist(), batch.column(at).cast("double").to_pylist()
+            for k, v in zip(keys, values):
+                v = float("nan") if v is None else v
+                if not started or k != now:
+                    opened, started, now, i, x, mean, var, w, u = not started, True, k, 0, v, v, 0.0, 0.0, 0.0
+                d, far = v - mean, q**i
+                row = [part, opened, i, mean, var, mean + alpha * d, w, u]
+                mean, var = mean + alpha * d, q * (var + alpha * d * d)
+                if opened:  # what c times and c * c times add to the variance
+                    w, u = q * (w + alpha * far * d), q * (u + alpha * far * far)
+                out.append((*row, var, x, w, u))
+                i += 1
+            made = [pa.array(c) for c in zip(*out)] or [pa.array([], pa.null())] * 12
+            kinds = [pa.int32(), pa.bool_(), pa.int64()] + [pa.float64()] * 9
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[c.cast(t) for c, t in zip(made, kinds)]], [*names, *extra, "_wend", "_uend"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    path = scratch_path(spark, "smoothed")
+    doubles = ", ".join(f"{c} double" for c in [*extra[3:], "_wend", "_uend"])
+    ranged.mapInArrow(local, f"{fields}, _part int, _first boolean, _i long, {doubles}").write.parquet(path)
+    held = spark.read.parquet(path)
+
+    ends = held.groupBy("_part", "_first", F.col(key).alias("k")).agg(F.max("_i").alias("last"), F.max_by(F.struct("_mean", "_end", "_wend", "_uend", "_x"), "_i").alias("e"))
+    one = Window.partitionBy("_part", "_first").orderBy(F.desc("k"))  # a range's first key, and the last of its others
+    edges = ends.withColumn("r", F.row_number().over(one)).where("r = 1").orderBy("_part", F.desc("_first")).collect()  # two rows a range at most
+    carried, before = [], None
+    for e in edges:
+        mean, var = e.e["_mean"], e.e["_end"]
+        if e["_first"]:
+            same = before is not None and before[0] == e.k
+            if same:
+                c, long = before[1] - e.e["_x"], q ** (e["last"] + 1)
+                var += -2 * c * e.e["_wend"] + c * c * e.e["_uend"] + before[2] * long
+                mean += c * long
+            carried.append((e["_part"], c if same else 0.0, before[2] if same else 0.0, before[3] if same else 0))
+            before = (e.k, mean, var, (before[3] if same else 0) + e["last"] + 1)
+        else:
+            before = (e.k, mean, var, e["last"] + 1)
+    met = spark.createDataFrame(carried, "_part int, _c double, _v double, _n long")  # a row a range
+    out = held.join(F.broadcast(met), "_part", "left")
+    far = F.pow(F.lit(q), F.col("_i"))
+    move = F.col("_first") & (F.col("_n") > 0)
+    var = F.col("_var") - 2 * F.col("_c") * F.col("_w") + F.col("_c") * F.col("_c") * F.col("_u") + F.col("_v") * far
+    return out.select(
+        *[F.col(f"`{c}`") for c in names],
+        F.when(move, F.col("_i") + F.col("_n")).otherwise(F.col("_i")).alias("_i"),
+        F.when(move, F.col("_before") + F.col("_c") * far).otherwise(F.col("_before")).alias("_before"),
+        F.when(move, F.greatest(var, F.lit(0.0))).otherwise(F.col("_var")).alias("_var"),
+        F.when(move, F.col("_mean") + F.col("_c") * far * q).otherwise(F.col("_mean")).alias("_mean"),
+    )
 
-    return _by_key(df, key, order, value, "ema double, is_anomaly boolean", step)
+
+def ema(df: DataFrame, key: str, order: list[str], value: str, window: int = 20, threshold: float = 3.0, warm_up: int = 10) -> DataFrame:
+    """Adds ema (the mean after the row, alpha 2 / (window + 1)) and is_anomaly."""
+    out = smoothed(df, key, order, value, 2 / (window + 1))
+    far = F.abs(F.col(value) - F.col("_before")) > threshold * F.sqrt("_var")
+    odd = (F.col("_i") >= warm_up) & (F.col("_var") > 0) & far & ~F.isnan("_var")
+    return out.select(*df.columns, F.col("_mean").alias("ema"), F.coalesce(odd, F.lit(False)).alias("is_anomaly"))
 
 
 def ewma(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.3, sensitivity: float = 3.0, least: int = 10) -> DataFrame:
     """Adds deviation (from the weighted mean before the row, in deviations; null before `least` rows or without any) and
-    is_anomaly; recursive, so each key is read in order."""
-
-    def step(x):
-        mean, var, out = 0.0, 0.0, []
-        for i, v in enumerate(x):
-            out.append(abs(v - mean) / var**0.5 if i >= least and var > 0 else None)
-            d = v - mean if i else 0.0
-            mean = mean + alpha * d if i else v
-            var = (1 - alpha) * (var + alpha * d * d)
-        return {"deviation": pd.Series(out, dtype=float), "is_anomaly": [o is not None and o > sensitivity for o in out]}
-
-    return _by_key(df, key, order, value, "deviation double, is_anomaly boolean", step)
+    is_anomaly."""
+    out = smoothed(df, key, order, value, alpha)
+    usable = (F.col("_i") >= least) & (F.col("_var") > 0) & ~F.isnan("_var")
+    out = out.withColumn("deviation", F.when(usable, F.abs(F.col(value) - F.col("_before")) / F.sqrt("_var")))
+    return out.select(*df.columns, "deviation", F.coalesce(F.col("deviation") > sensitivity, F.lit(False)).alias("is_anomaly"))
 
 
 def local_outliers(df: DataFrame, key: str, order: list[str], value: str, window: int = 50, k: int = 5, ratio: float = 2.0, warm_up: int = 10) -> DataFrame:
