@@ -185,7 +185,8 @@ class Made(WriterCommitMessage):
 
 
 class AvroWriter(DataSourceWriter):
-    """A file a task, under a name of its own; only the files of tasks that count get their last names."""
+    """A file a task, under a name of its own; only the files of tasks that count get their last names. Overwriting drops the
+    old files first and isn't one step: a driver lost in between leaves some of the new ones."""
 
     def __init__(self, path: str, schema: dict, codec: str, overwrite: bool) -> None:
         self.path, self.schema, self.codec, self.overwrite = path, schema, codec, overwrite
