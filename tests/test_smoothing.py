@@ -1,11 +1,16 @@
 """Exponential means and variances of keys that span ranges, against a plain loop."""
 
+import datetime as dt
 import math
 import random
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tidemill.functions import scalar
 from tidemill.operators import anomaly
+from tidemill.queries import ORACLE, QUERIES
 
 
 def plain(values, alpha):
@@ -45,3 +50,19 @@ def test_null_values_empty_tables_and_kept_columns(spark):
     ew = {r.i: r for r in anomaly.ewma(df, "k", ["i"], "v").collect()}
     assert ew[9].deviation is None and ew[15].deviation is not None and ew[30].deviation is None and not ew[30].is_anomaly
     assert anomaly.ema(df.where("i < 0"), "k", ["i"], "v").count() == 0
+
+
+def test_forecasts_are_rounded_as_their_sql_does(spark, tmp_path):
+    rows = [(u * 100 + i, dt.datetime(2024, 1, 1, 0, i), u, None if (u, i) == (7, 5) else round((u * 37 + i * i * 11) % 401 / 4 + u / 100, 2)) for u in range(60) for i in range(12)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: r.forecast for r in QUERIES["holt_forecast"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = dict(con.sql(ORACLE["holt_forecast"]).fetchall())
+    assert got == want and len(got) == 720 and sum(v is None for v in got.values()) == 7
+
+
+def test_halves_are_judged_in_binary(spark):
+    rows = [9.768975, -9.768975, 0.5e-5, 2.5e-5, 1e300, 1e304, float("inf"), None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in rows], "v double").select(scalar.round_binary(F.col("v"), 5)).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 5)", [v]).fetchone()[0] for v in rows]

@@ -57,6 +57,14 @@ def divide(a: Column, b: Column) -> Column:
     return F.try_divide(a, b).cast("long")
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """The double times 10^digits to the nearest whole number, halves away from 0, and back, as DuckDB rounds. Spark's round
+    goes by the shortest decimal, so 9.768975, a little less in binary, becomes 9.76898 there and 9.76897 here."""
+    scale = F.lit(10.0**digits)
+    big = F.abs(x * scale) == F.lit(float("inf"))
+    return F.when(big, x).otherwise(F.round(x * scale) / scale)
+
+
 def hour_of_day(ts: Column) -> Column:
     return F.hour(ts).cast("long")
 

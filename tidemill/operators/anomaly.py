@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -30,16 +28,6 @@ def iqr(df: DataFrame, key: str, order: list[str], value: str, window: int = 50,
     return out.withColumn("is_anomaly", F.coalesce((F.col(value) < F.col("q1") - wide) | (F.col(value) > F.col("q3") + wide), F.lit(False)))
 
 
-def _by_key(df: DataFrame, key: str, order: list[str], value: str, extra: str, step):
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, ignore_index=True)
-        return rows.assign(**step(rows[value].to_numpy(float)))
-
-    return df.groupBy(key).applyInPandas(run, f"{fields}, {extra}")
-
-
 def smoothed(df: DataFrame, key: str, order: list[str], value: str, alpha: float) -> DataFrame:
     """Adds _i (place in the key, from 0), _before and _var (exponential mean and variance before the row) and _mean (after it).
 
@@ -150,19 +138,33 @@ def isolation(df: DataFrame, key: str, order: list[str], value: str, window: int
 
 
 def holt(df: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.5, beta: float = 0.3, ahead: int = 1) -> DataFrame:
-    """Double exponential smoothing: level, trend and forecast after each row."""
-
-    def step(x):
-        level, trend, rows = (x[0] if len(x) else 0.0), 0.0, []
-        for i, v in enumerate(x):
-            if i:
-                was = level
-                level = alpha * v + (1 - alpha) * (level + trend)
-                trend = beta * (level - was) + (1 - beta) * trend
-            rows.append((level, trend, level + ahead * trend))
-        return dict(zip(("level", "trend", "forecast"), map(list, zip(*rows)))) if rows else {"level": [], "trend": [], "forecast": []}
-
-    return _by_key(df, key, order, value, "level double, trend double, forecast double", step)
+    """Double exponential smoothing: level, trend and forecast after each row. Null from a key's first null value on.
+
+    Rows are read in order of (key, order) as a stream, so that a key of any length fits; one key is read in one task.
+    """
+    names = df.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    of, at = names.index(key), names.index(value)
+
+    def run(batches):
+        now, started, level, slope = None, False, None, None
+        for batch in batches:
+            out = []
+            for k, v in zip(batch.column(of).to_pylist(), batch.column(at).cast("double").to_pylist()):
+                if not started or k != now and (k == k or now == now):  # NaN keys are one
+                    started, now, level, slope = True, k, v, 0.0
+                elif v is None or level is None:
+                    level = slope = None
+                else:
+                    was = level
+                    level = alpha * v + (1 - alpha) * (level + slope)
+                    slope = beta * (level - was) + (1 - beta) * slope
+                out.append((level, slope, None if level is None else level + ahead * slope))
+            made = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.float64()) for c in made]], [*names, "level", "trend", "forecast"])
+
+    ranked = df.repartition(key).sortWithinPartitions(key, *[F.asc_nulls_last(c) for c in order])
+    return ranked.mapInArrow(run, f"{fields}, level double, trend double, forecast double")
 
 
 def trend(df: DataFrame, key: str, order: list[str], value: str, flat: float = 0.01) -> DataFrame:

@@ -342,7 +342,7 @@ def _(spark, d):
 
 @query("holt_forecast", CHAIN + "SELECT user_id, i, event_id, v AS l, 0::DOUBLE AS t FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, o.event_id, 0.5::DOUBLE * o.v + 0.5::DOUBLE * (r.l + r.t), 0.3::DOUBLE * (0.5::DOUBLE * o.v + 0.5::DOUBLE * (r.l + r.t) - r.l) + 0.7::DOUBLE * r.t" + STEP + "SELECT event_id, round(l + t, 5) AS forecast FROM r")
 def _(spark, d):
-    return anomaly.holt(events(spark, d).select("event_id", "user_id", "ts", "value"), "user_id", ["ts"], "value").select("event_id", F.round("forecast", 5).alias("forecast"))
+    return anomaly.holt(events(spark, d).select("event_id", "user_id", "ts", "value"), "user_id", ["ts"], "value").select("event_id", scalar.round_binary(F.col("forecast"), 5).alias("forecast"))
 
 
 @query("window_capped_session", "WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events), r AS (SELECT user_id, i, ts, ts AS b, 0 AS s FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, o.ts, CASE WHEN o.ts - r.ts > INTERVAL '4 hours' OR o.ts - r.b > INTERVAL '12 hours' THEN o.ts ELSE r.b END, CASE WHEN o.ts - r.ts > INTERVAL '4 hours' OR o.ts - r.b > INTERVAL '12 hours' THEN r.s + 1 ELSE r.s END" + STEP + "SELECT user_id, CAST(s AS BIGINT) AS session, min(ts) AS window_start, max(ts) AS window_end, count(*) AS events FROM r GROUP BY user_id, s")
