@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,7 @@ from tidemill.operators import anomaly, cep, joins, logs, timeseries, transforms
 from tidemill.plans import dialect
 from tidemill.plans.builder import flow
 from tidemill.plans.catalog import Catalog
+from tidemill.queries import ORACLE, QUERIES
 from tidemill.sources import sinks, topics
 from tidemill.streaming import runs
 
@@ -243,3 +245,17 @@ def test_entry_works_without_the_subpackage(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_rate_limit_has_the_periods_of_its_sql_and_steady_ties(spark, tmp_path):
+    edge = [dt.datetime(y, m, d, 23, 59, 59, us) for y, m, d in ((2024, 1, 1), (1969, 12, 31), (1969, 12, 30)) for us in (0, 499_999, 500_000, 999_999)]
+    times = [t + dt.timedelta(hours=h) for t in edge for h in (-5, 0, 3)] + [None]
+    rows = [(i, t, "e") for i, t in enumerate(times)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["rate_limit"](spark, str(tmp_path)).collect())) == sorted(con.sql(ORACLE["rate_limit"]).fetchall())
+
+    tied = [(i, dt.datetime(2024, 1, 1 + i % 2), "e") for i in reversed(range(200))]
+    spark.createDataFrame(tied, "event_id long, ts timestamp_ntz, event_type string").repartition(7).write.parquet(f"{tmp_path}/tied/events.parquet")
+    assert sorted(r.event_id for r in QUERIES["rate_limit"](spark, f"{tmp_path}/tied").collect()) == list(range(6))

@@ -662,7 +662,7 @@ def _(spark, d):
 
 @query("rate_limit", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type, CAST(epoch(ts) AS BIGINT) // 86400 ORDER BY ts) AS r FROM events) WHERE r <= 3")
 def _(spark, d):
-    return transforms.limit_rate("event_type", "ts", 3, 86_400)(events(spark, d)).select("event_id")
+    return transforms.limit_rate("event_type", "ts", 3, 86_400, ("event_id",))(events(spark, d)).select("event_id")
 
 
 @query("json_filter_kinds", "SELECT 'eq' AS op, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') = '5' UNION ALL SELECT 'contains', count(*) FROM events WHERE contains(json_extract_string(props, '$.k'), '1') UNION ALL SELECT 'exists', count(*) FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
