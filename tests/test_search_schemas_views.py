@@ -33,6 +33,32 @@ def test_cells_of_ties_nulls_and_zeros(spark):
         cells.centres(np.zeros((0, 2)), 4)
 
 
+def test_cells_of_copies_blocks_and_rows_without_direction(spark):
+    dice = np.random.default_rng(1)
+    lone = dice.normal(size=(300, 6)).astype(np.float32)
+    many = np.concatenate([lone, np.repeat(lone[:4], 150, axis=0), np.zeros((2, 6), np.float32)])  # large groups of copies tie
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(dice.permutation(len(many)), many)] + [(5_000, None)]
+    v = spark.createDataFrame(rows, "id long, vector array<float>").repartition(5)
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    s = vector.cosine(F.col("vector"), F.col("query"))
+    ranks = asked.where("query IS NOT NULL").join(v.where("vector IS NOT NULL")).select("query_id", "id", F.round(s, 9).alias("s"))
+    want = {}
+    for r in sorted(ranks.collect(), key=lambda r: (r.query_id, -r.s, r.id)):
+        want.setdefault(r.query_id, []).append((r.id, r.s))
+    c = cells.centres(cells.sample(v, "id", "vector"), 4)
+    once = cells.nearest(v, asked, 5, c, 4)
+    blocks = cells.nearest(v, asked, 5, c, 4, most_queries=7, in_blocks=True)
+    assert "Join" not in once._jdf.queryExecution().optimizedPlan().toString()  # no row a pair
+    for got in (once.collect(), blocks.collect()):
+        found = {q: [(r.id, round(r.similarity, 9)) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] for q in want}
+        assert len(got) == 5 * len(want) and found == {q: w[:5] for q, w in want.items()}
+    with pytest.raises(ValueError):
+        cells.nearest(v, asked, 5, c, 4, most_queries=7)
+    assert cells.nearest(v.where("id < 0"), asked, 5, c, 4).count() == cells.nearest(v, asked.where("query_id < 0"), 5, c, 4).count() == 0
+    named = cells.nearest(v.withColumn("id", F.col("id").cast("string")), asked, 3, c, 4)
+    assert named.count() == 3 * len(want) and dict(named.dtypes)["id"] == "string"
+
+
 def test_semantic_partitions_cover_every_row(spark, sf):
     got = QUERIES["semantic_partitions"](spark, sf)
     assert got.where("cell IS NULL").count() == 0

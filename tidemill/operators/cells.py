@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vector import cosine
+from .vector import NEAR, Rows, asked_rows, dealt, raw
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -80,16 +82,88 @@ def updated(df: DataFrame, vector: str, centres_: np.ndarray, rate: float = 0.1)
     return unit(out)
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int, centres_: np.ndarray, probes: int, most_queries: int = 10_000) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int, centres_: np.ndarray, probes: int, most_queries: int = 10_000, in_blocks: bool = False) -> DataFrame:
     """query_id, id, similarity, rank: top k by cosine of (id, vector) among the cells that each (query_id, query) probes.
 
-    The query set is small by contract (checked), so it goes to every task: the base is read in place and no cell, however
-    full, is shuffled; a task keeps its best k of each query. With as many probes as cells the result is exact.
+    Queries go to every task, so more than `most_queries` are refused, or with `in_blocks` sent in blocks of about that many,
+    each with a pass over the base. Rows are dealt evenly whatever their cell. A task multiplies the rows of a cell with the
+    queries that probe it and keeps its k best of each query. With as many probes as cells the result is exact.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"at most {most_queries} queries at once")
-    asked = queries.withColumn("cell", F.explode(nearest_cells(F.col("query"), centres_, probes)))
-    met = partition(base, "vector", centres_).join(F.broadcast(asked), "cell")  # size checked above
-    pairs = met.select("query_id", "id", cosine(F.col("vector"), F.col("query")).alias("similarity"))
+    n = queries.count()
+    if n > most_queries and not in_blocks:
+        raise ValueError(f"{n} queries, more than {most_queries}; ask for blocks")
+    blocks = max(1, -(-n // most_queries))
+    kinds = {"id": dict(base.dtypes)["id"], "query_id": dict(queries.dtypes)["query_id"]}
+    rows = dealt(base.where("vector IS NOT NULL").select("id", "vector"))
+    parts = [rows.mapInArrow(best_in_cells(queries, blocks, b, k, centres_, probes), f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double") for b in range(blocks)]
+    local = parts[0]
+    for p in parts[1:]:
+        local = local.unionByName(p)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+
+
+def best_in_cells(queries: DataFrame, blocks: int, number: int, k: int, centres_: np.ndarray, probes: int):
+    """A step over Arrow batches of (id, vector) that gives the k best of each query of one block in the cells it probes."""
+    names, asked = asked_rows(queries, "query_id", blocks, number)
+    vectors = raw(asked, centres_.shape[1])
+    near = np.argsort(-(unit(vectors) @ centres_.T), axis=1, kind="stable")[:, :probes] if len(names) else np.zeros((0, 1), int)
+    sent = queries.sparkSession.sparkContext.broadcast((names, vectors, near))
+
+    def run(batches):
+        names, vectors, near = sent.value
+        wanted, probing = Rows(vectors), [np.flatnonzero((near == c).any(axis=1)) for c in range(len(centres_))]
+        held, least = None, np.full(len(names), -np.inf)  # the k best so far by query, and the least of them
+        for batch in batches:
+            own, found = batch.column(batch.schema.get_field_index("id")), batch.column(batch.schema.get_field_index("vector"))
+            for i in range(0, batch.num_rows if len(names) else 0, 4_096):
+                have, ids = raw(found.slice(i, 4_096), vectors.shape[1]), own.slice(i, 4_096)
+                first = first_copies(have, ids, k)
+                have, ids = Rows(have[first]), ids.take(pa.array(first))
+                q, rows = candidates(wanted, have, probing, (have.units @ centres_.T).argmax(axis=1), least, k)
+                held, least = best_kept(held, (q, wanted.cosines(q, have, rows), ids.take(pa.array(rows))), least, k)
+        if held:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(held[0])), held[2], pa.array(held[1])], ["query_id", "id", "similarity"])
+
+    return run
+
+
+def place_in(groups: np.ndarray) -> np.ndarray:
+    """The place of each row in its group, from 0, of rows sorted by group."""
+    starts = np.flatnonzero(np.diff(groups, prepend=-1))
+    return np.arange(len(groups)) - np.repeat(starts, np.diff(starts, append=len(groups)))
+
+
+def first_copies(vectors: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
+    """Rows without those that have k copies of less id beside them: as all copies are equally near, these can't be among k."""
+    _, group = np.unique(np.ascontiguousarray(vectors + 0.0).view(f"V{vectors.shape[1] * 8}").ravel(), return_inverse=True)
+    order = np.lexsort((pc.rank(ids).to_numpy(), group))
+    return order[place_in(group[order]) < k]
+
+
+def candidates(wanted: Rows, have: Rows, probing: list[np.ndarray], cell: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) of a cell that a query probes which may be among the query's k best; NaN counts as nearest."""
+    out = [(np.zeros(0, int), np.zeros(0, int))]
+    for c in np.unique(cell):
+        asked, rows = probing[c], np.flatnonzero(cell == c)
+        for i in range(0, len(asked), step := max(1, (1 << 22) // len(rows))):  # products of 32 MB at most
+            some = asked[i : i + step]
+            product, floor = wanted.units[some] @ have.units[rows].T, least[some]
+            fresh = np.flatnonzero(np.isneginf(floor))
+            if len(rows) >= k and len(fresh):
+                own = np.partition(product[fresh], -k, axis=1)[:, -k]
+                floor[fresh] = np.where(np.isnan(own), np.inf, own)
+            a, b = np.nonzero(~(product < floor[:, None] - NEAR))
+            out.append((some[a], rows[b]))
+    q, rows = zip(*out)
+    return np.concatenate(q), np.concatenate(rows)
+
+
+def best_kept(held, new, least: np.ndarray, k: int):
+    """The k best of each query among held and new (queries, similarities, ids), and the least similarity where there are k."""
+    q, s, ids = new if held is None else (np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]), pa.concat_arrays([held[2], new[2]]))
+    order = np.lexsort((pc.rank(ids, tiebreaker="first").to_numpy(), np.where(np.isnan(s), -np.inf, -s), q))
+    place = place_in(q[order])
+    order, last = order[place < k], order[place == k - 1]
+    least[q[last]] = np.where(np.isnan(s[last]), np.inf, s[last])
+    return (q[order], s[order], ids.take(pa.array(order))), least

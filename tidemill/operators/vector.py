@@ -81,6 +81,57 @@ def packed(column, size: int) -> np.ndarray:
     return np.divide(out, n, out=out, where=n > 0)
 
 
+NEAR = 1e-9  # products of a matrix are off by far less, but differ in their last bits between copies of a vector
+
+
+def raw(column, size: int) -> np.ndarray:
+    """Rows of an Arrow list column; zero for nulls and other lengths."""
+    out = np.zeros((len(column), size))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    lengths = np.diff(np.asarray(column.offsets)) * column.is_valid().to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lengths == size)
+    if len(rows):
+        out[rows] = flat[(np.cumsum(lengths)[rows] - size)[:, None] + np.arange(size)]
+    return out
+
+
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of row with row, added one by one: equal rows give equal bits wherever they lie."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total += a[:, j] * b[:, j]
+    return total
+
+
+class Rows:
+    """Vectors with their norms: units for products of matrices, and exact cosines of chosen pairs (0 for a zero vector)."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors, self.squares = vectors, dots(vectors, vectors)
+        n = np.sqrt(self.squares)[:, None]
+        self.units = np.divide(vectors, n, out=np.zeros_like(vectors), where=n > 0)
+
+    def cosines(self, mine: np.ndarray, other: Rows, theirs: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(mine))
+        for i in range(0, len(mine), 16_384):
+            a, b = mine[i : i + 16_384], theirs[i : i + 16_384]
+            n = np.sqrt(self.squares[a] * other.squares[b])
+            found = np.divide(dots(self.vectors[a], other.vectors[b]), n, out=np.zeros(len(a)), where=n != 0)
+            out[i : i + 16_384] = np.clip(found, -1, 1)
+        return out
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over all cores: reading splits no row group of a file, and each row costs a pass over the queries."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
+def asked_rows(queries: DataFrame, ident: str, blocks: int, number: int):
+    """Names and vectors of one block of (ident, query) as Arrow arrays, without null queries."""
+    rows = queries.where(F.col("query").isNotNull() & (F.pmod(F.xxhash64(ident), F.lit(blocks)) == number)).select(ident, "query").toArrow()
+    return rows.column(ident).combine_chunks(), rows.column("query").combine_chunks()
+
+
 def nearest(base: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000, in_blocks: bool = False) -> DataFrame:
     """query_id, id, similarity, rank: exact cosine top k of (id, vector) for each of (query_id, query).
 

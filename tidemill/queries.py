@@ -600,7 +600,7 @@ def knn_in_cells(spark, d, probes):
     v = table(spark, d, "embeddings")
     c = cells.centres(cells.sample(v, "vec_id", "embedding"), CELLS)
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))  # the stated query set
-    return cells.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 5, c, probes).withColumn("similarity", F.round("similarity", 6))
+    return cells.nearest(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), q, 5, c, probes, in_blocks=True).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("knn_cells")
