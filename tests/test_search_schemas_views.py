@@ -2,6 +2,7 @@
 
 import graphlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tidemill.functions.registry import Functions
 from tidemill.operators import anomaly, cells, embedding, observe, schemas, transforms, vector
 from tidemill.plans import questions
 from tidemill.plans.views import View, Views, apply_deltas, counted
-from tidemill.queries import QUERIES
+from tidemill.queries import ORACLE, QUERIES
 
 
 def test_cells_reach_the_recall(spark, sf):
@@ -59,6 +60,16 @@ def test_cells_of_copies_blocks_and_rows_without_direction(spark):
     assert named.count() == 3 * len(want) and dict(named.dtypes)["id"] == "string"
 
 
+def test_cell_search_equals_its_sql_on_copies(spark, sf, tmp_path):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    n = v.agg(F.max("vec_id")).first()[0] + 1
+    v.where("vec_id < 120").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("vec_id", F.col("vec_id") + F.col("i") * n).drop("i").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql("SELECT query_id, id, similarity, rank FROM (" + ORACLE["knn_all_cells"] + ")").fetchall()
+    assert sorted(want) == sorted(map(tuple, QUERIES["knn_all_cells"](spark, str(tmp_path)).select("query_id", "id", "similarity", "rank").collect()))
+
+
 def test_semantic_partitions_cover_every_row(spark, sf):
     got = QUERIES["semantic_partitions"](spark, sf)
     assert got.where("cell IS NULL").count() == 0
