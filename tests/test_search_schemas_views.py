@@ -70,6 +70,25 @@ def test_cell_search_equals_its_sql_on_copies(spark, sf, tmp_path):
     assert sorted(want) == sorted(map(tuple, QUERIES["knn_all_cells"](spark, str(tmp_path)).select("query_id", "id", "similarity", "rank").collect()))
 
 
+def test_subscriptions_equal_their_definition_without_a_row_a_pair(spark):
+    dice = np.random.default_rng(2)
+    lone = [[float(x) for x in v] for v in dice.normal(size=(200, 4)).astype(np.float32)]
+    rows = list(enumerate(lone + lone[:3] * 40 + [[0.0] * 4, None, [1.0, 2.0], [2.0, 4.0]]))
+    v = spark.createDataFrame(rows, "id long, vector array<float>").repartition(3)
+    standing = v.where("id % 9 = 0 OR id >= 320").select(F.concat(F.lit("s"), "id").alias("subscription"), F.col("vector").alias("query"))
+    s = vector.cosine(F.col("vector"), F.col("query"))
+    pairs = v.where("vector IS NOT NULL").join(standing.where("query IS NOT NULL")).select("id", "subscription", F.round(s, 9).alias("s"))
+    for least in (0.5, 0.0):
+        want = sorted(map(tuple, pairs.where(F.col("s") >= least).collect()))
+        once, blocks = embedding.subscribe(v, standing, least), embedding.subscribe(v, standing, least, most_standing=6, in_blocks=True)
+        for got in (once, blocks):
+            assert sorted((r.id, r.subscription, round(r.similarity, 9) + 0.0) for r in got.collect()) == want
+    assert any(i == 322 and q == "s323" for i, q, _ in want) and "Join" not in once._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        embedding.subscribe(v, standing, 0.5, most_standing=6)
+    assert embedding.subscribe(v.where("id < 0"), standing).count() == embedding.subscribe(v, standing.where("subscription = ''")).count() == 0
+
+
 def test_semantic_partitions_cover_every_row(spark, sf):
     got = QUERIES["semantic_partitions"](spark, sf)
     assert got.where("cell IS NULL").count() == 0

@@ -7,10 +7,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vector import cosine
+from .vector import NEAR, Rows, asked_rows, dealt, raw
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -97,12 +98,46 @@ def chunk(df: DataFrame, ident: str, text: str, most: int = 512, least: int = 1,
     return rows.select("id", F.col("chunk").cast("long"), "c.start", "c.text")
 
 
-def subscribe(records: DataFrame, standing: DataFrame, least: float = 0.8, most_standing: int = 10_000) -> DataFrame:
+def subscribe(records: DataFrame, standing: DataFrame, least: float = 0.8, most_standing: int = 10_000, in_blocks: bool = False) -> DataFrame:
     """id, subscription, similarity: records (id, vector) near standing queries (subscription, query).
 
-    For batches and, through foreachBatch, streams: standing queries are few by contract (checked) and go to every task.
+    For batches and, through foreachBatch, streams. Standing queries go to every task, so more than `most_standing` are
+    refused, or with `in_blocks` sent in blocks of about that many, each with a pass over the records. Records are dealt
+    evenly and multiplied with the queries batch by batch; pairs that reach `least` are confirmed one by one.
     """
-    if standing.limit(most_standing + 1).count() > most_standing:
-        raise ValueError(f"at most {most_standing} standing queries")
-    pairs = records.join(F.broadcast(standing)).withColumn("similarity", cosine(F.col("vector"), F.col("query")))
-    return pairs.where(F.col("similarity") >= least).select("id", "subscription", "similarity")
+    n = standing.count()
+    if n > most_standing and not in_blocks:
+        raise ValueError(f"{n} standing queries, more than {most_standing}; ask for blocks")
+    blocks = max(1, -(-n // most_standing))
+    kinds = {"id": dict(records.dtypes)["id"], "subscription": dict(standing.dtypes)["subscription"]}
+    rows = dealt(records.where("vector IS NOT NULL").select("id", "vector"))
+    parts = [rows.mapInArrow(matches(standing, blocks, b, least), f"id {kinds['id']}, subscription {kinds['subscription']}, similarity double") for b in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def matches(standing: DataFrame, blocks: int, number: int, least: float):
+    """A step over Arrow batches of (id, vector) that gives the pairs of a similarity of `least` or more with one block."""
+    names, asked = asked_rows(standing, "subscription", blocks, number)
+    lengths = np.diff(np.asarray(asked.offsets))
+    groups = [(names.filter(pa.array(lengths == n)), raw(asked.filter(pa.array(lengths == n)), max(n, 1))) for n in np.unique(lengths)]
+    sent = standing.sparkSession.sparkContext.broadcast(groups)  # by length, as vectors of other lengths aren't alike
+
+    def run(batches):
+        groups = [(names, Rows(vectors)) for names, vectors in sent.value]
+        for batch in batches:
+            own, found = batch.column(batch.schema.get_field_index("id")), batch.column(batch.schema.get_field_index("vector"))
+            for names, wanted in groups:
+                step = max(1, min(2_048, (1 << 22) // len(names)))  # products of 32 MB at most
+                for i in range(0, batch.num_rows, step):
+                    have, ids = Rows(raw(found.slice(i, step), wanted.vectors.shape[1])), own.slice(i, step)
+                    near = np.flatnonzero(~(wanted.units @ have.units.T < least - NEAR))
+                    for j in range(0, len(near), 1 << 18):
+                        q, r = np.divmod(near[j : j + (1 << 18)], len(ids))
+                        s = wanted.cosines(q, have, r)
+                        ok = ~(s < least)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(r[ok])), names.take(pa.array(q[ok])), pa.array(s[ok])], ["id", "subscription", "similarity"])
+
+    return run

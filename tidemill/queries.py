@@ -636,7 +636,7 @@ def _(spark, d):
 def _(spark, d):
     v = table(spark, d, "embeddings")
     standing = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("subscription"), F.col("embedding").alias("query"))  # the stated query set
-    return embedding.subscribe(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), standing, 0.3).withColumn("similarity", F.round("similarity", 6))
+    return embedding.subscribe(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), standing, 0.3, in_blocks=True).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("chunk_recursive")
