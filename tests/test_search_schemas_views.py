@@ -70,6 +70,11 @@ def test_cell_search_equals_its_sql_on_copies(spark, sf, tmp_path):
     assert sorted(want) == sorted(map(tuple, QUERIES["knn_all_cells"](spark, str(tmp_path)).select("query_id", "id", "similarity", "rank").collect()))
 
 
+@pytest.mark.parametrize("name", ["knn_cells", "knn_all_cells", "similarity_subscription"])
+def test_searches_make_no_row_a_pair_of_vectors(spark, sf, name):
+    assert "Join" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_subscriptions_equal_their_definition_without_a_row_a_pair(spark):
     dice = np.random.default_rng(2)
     lone = [[float(x) for x in v] for v in dice.normal(size=(200, 4)).astype(np.float32)]
