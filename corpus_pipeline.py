@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm import mixing, near_dedup, packing, suffix_dedup, toxicity
-from tidemill.llm.common import documents, scratch_path
+from tidemill.llm.common import documents, ease, scratch_path
 from tidemill.session import MADE, discard
 
 #: Scratch tables of the stage that ran last.
@@ -17,6 +17,7 @@ def staged(stage):
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         discard(spark, _held)
+        ease(spark)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # documents are long; small batches take less memory
         first = len(MADE)
         out = stage(spark, docs, sf_dir)

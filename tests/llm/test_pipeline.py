@@ -1,5 +1,6 @@
 """The corpus pipeline against a brute-force version of its stages, and on awkward and empty tables."""
 
+import gc
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 
 import corpus_pipeline as pipeline
 from tests.llm.test_operators import brute_components, word_sets
-from tidemill.llm import mixing, packing, tokens, toxicity
+from tidemill.llm import common, mixing, packing, tokens, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -96,3 +97,19 @@ def test_awkward_and_empty_tables(spark, tmp_path):
                 assert len(kept) == len(set(kept)) and {1, 2, 3, 4, 5, 6, 7, None} >= {d for d, _ in kept} and 8 not in {d for d, _ in kept}
         out = pipeline.STAGES[-1][1](spark, docs, f"{tmp_path}/{name}")
         assert out.count() == 0 if not data else np.array([r["length"] for r in out.collect()]).max() <= packing.fit.__defaults__[0]
+
+
+def test_driver_memory_is_given_back_before_stages_and_scratch_tables(spark, monkeypatch):
+    eased = []
+    monkeypatch.setattr(pipeline, "ease", lambda s: eased.append("stage"), raising=False)
+    monkeypatch.setattr(common, "ease", lambda s: eased.append("scratch"), raising=False)
+    pipeline.staged(lambda s, docs, d: common.scratch(docs, "eased"))(spark, spark.range(3), "").collect()
+    assert eased == ["stage", "scratch"]
+    monkeypatch.undo()
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    ballast = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.long, 8_000_000)  # 64 MB
+    del ballast
+    gc.collect()
+    before = runtime.totalMemory() - runtime.freeMemory()
+    common.ease(spark, 0.0)
+    assert runtime.totalMemory() - runtime.freeMemory() < before
