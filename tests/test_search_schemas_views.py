@@ -4,6 +4,7 @@ import graphlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +61,19 @@ def test_cells_of_copies_blocks_and_rows_without_direction(spark):
     assert named.count() == 3 * len(want) and dict(named.dtypes)["id"] == "string"
 
 
+def test_equal_queries_of_a_cell_search_are_searched_once(spark, monkeypatch):
+    lone = [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0]]
+    asked = spark.createDataFrame([(i, lone[i % 3]) for i in range(60)], "query_id long, query array<double>")
+    c = cells.centres(np.array(lone), 2)
+    step, sizes = cells.best_in_cells(asked, 1, 0, 2, c, 2), []
+    monkeypatch.setattr(cells, "Rows", lambda v: sizes.append(len(v)) or vector.Rows(v))
+    base = pa.RecordBatch.from_arrays([pa.array([7, 5, 6]), pa.array([[0.0, 2.0], [2.0, 0.0], [4.0, 4.0]])], ["id", "vector"])
+    got = [r for b in step(iter([base])) for r in b.to_pylist()]
+    assert sizes[0] == 3  # not 60
+    best = {q: [r["id"] for r in sorted(got, key=lambda r: (-r["similarity"], r["id"])) if r["query_id"] == q] for q in range(60)}
+    assert best == {q: [[5, 6], [7, 6], [6, 5]][q % 3] for q in range(60)}
+
+
 def test_cell_search_equals_its_sql_on_copies(spark, sf, tmp_path):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     n = v.agg(F.max("vec_id")).first()[0] + 1

@@ -26,8 +26,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def sample(df: DataFrame, ident: str, vector: str, most: int = 20_000) -> np.ndarray:
     """At most `most` vectors (documented bound), the same ones on each run: those with the least hashed ids."""
-    rows = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(ident), ident).limit(most).select(vector).collect()
-    return unit(np.array([r[0] for r in rows], np.float64).reshape(len(rows), -1))
+    rows = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(ident), ident).limit(most).select(vector).toArrow().column(0).combine_chunks()
+    return unit(rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1))
 
 
 def centres(vectors: np.ndarray, cells: int, rounds: int = 20, seed: int = 7) -> np.ndarray:
@@ -86,8 +86,8 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, centres_: np.ndarray, p
     """query_id, id, similarity, rank: top k by cosine of (id, vector) among the cells that each (query_id, query) probes.
 
     Queries go to every task, so more than `most_queries` are refused, or with `in_blocks` sent in blocks of about that many,
-    each with a pass over the base. Rows are dealt evenly whatever their cell. A task multiplies the rows of a cell with the
-    queries that probe it and keeps its k best of each query. With as many probes as cells the result is exact.
+    each with a pass over the base; equal queries of a block are searched once. Rows are dealt evenly whatever their cell. A task multiplies the rows of a
+    cell with the queries that probe it and keeps its k best of each query. With as many probes as cells the result is exact.
     """
     n = queries.count()
     if n > most_queries and not in_blocks:
@@ -106,14 +106,14 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, centres_: np.ndarray, p
 def best_in_cells(queries: DataFrame, blocks: int, number: int, k: int, centres_: np.ndarray, probes: int):
     """A step over Arrow batches of (id, vector) that gives the k best of each query of one block in the cells it probes."""
     names, asked = asked_rows(queries, "query_id", blocks, number)
-    vectors = raw(asked, centres_.shape[1])
+    vectors, of = distinct(raw(asked, centres_.shape[1]))
     near = np.argsort(-(unit(vectors) @ centres_.T), axis=1, kind="stable")[:, :probes] if len(names) else np.zeros((0, 1), int)
-    sent = queries.sparkSession.sparkContext.broadcast((names, vectors, near))
+    sent = queries.sparkSession.sparkContext.broadcast((names, of, vectors, near))
 
     def run(batches):
-        names, vectors, near = sent.value
+        names, of, vectors, near = sent.value
         wanted, probing = Rows(vectors), [np.flatnonzero((near == c).any(axis=1)) for c in range(len(centres_))]
-        held, least = None, np.full(len(names), -np.inf)  # the k best so far by query, and the least of them
+        held, least = None, np.full(len(vectors), -np.inf)  # the k best so far by query, and the least of them
         for batch in batches:
             own, found = batch.column(batch.schema.get_field_index("id")), batch.column(batch.schema.get_field_index("vector"))
             for i in range(0, batch.num_rows if len(names) else 0, 4_096):
@@ -123,7 +123,13 @@ def best_in_cells(queries: DataFrame, blocks: int, number: int, k: int, centres_
                 q, rows = candidates(wanted, have, probing, (have.units @ centres_.T).argmax(axis=1), least, k)
                 held, least = best_kept(held, (q, wanted.cosines(q, have, rows), ids.take(pa.array(rows))), least, k)
         if held:
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(held[0])), held[2], pa.array(held[1])], ["query_id", "id", "similarity"])
+            order, counts = np.argsort(of, kind="stable"), np.bincount(of)
+            starts, step = np.cumsum(counts) - counts, max(1, (1 << 20) // counts.max())
+            for i in range(0, len(held[0]), step):  # a row for each query of that vector
+                q = held[0][i : i + step]
+                row = np.repeat(np.arange(len(q)), counts[q])
+                who = order[starts[q[row]] + place_in(row)]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(who)), held[2].take(pa.array(i + row)), pa.array(held[1][i + row])], ["query_id", "id", "similarity"])
 
     return run
 
@@ -134,6 +140,12 @@ def place_in(groups: np.ndarray) -> np.ndarray:
     return np.arange(len(groups)) - np.repeat(starts, np.diff(starts, append=len(groups)))
 
 
+def distinct(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors that differ, and the place among them of each one given."""
+    _, first, of = np.unique(np.ascontiguousarray(vectors + 0.0).view(f"V{vectors.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
+    return vectors[first], of
+
+
 def first_copies(vectors: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
     """Rows without those that have k copies of less id beside them: as all copies are equally near, these can't be among k."""
     _, group = np.unique(np.ascontiguousarray(vectors + 0.0).view(f"V{vectors.shape[1] * 8}").ravel(), return_inverse=True)
